@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import language_id
+from terrafold.llm import divergence, language_id, line_crf, spec_bpe
 from terrafold.llm.common import configure, documents, fold_crc
 
 
@@ -18,5 +18,38 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {"op1_language_id": op1_language_id}
+def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    judged = divergence.judge(docs.select("doc_id", "text"), divergence.learn(docs))
+    return judged.drop("text")
+
+
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    fold = fold_crc(F.col("doc_id"), 5)
+    scored = line_crf.score(docs, quality_model(spark, sf_dir, docs))
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> line_crf.LineModel:
+    """The line model that op4 and the pipeline use, learned from labels of the rows that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(fold_crc(F.col("doc_id"), 5) != 0)
+    some = labels.where("quality in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(12_000)  # so few rows can be broadcast
+    return line_crf.fit(docs.join(F.broadcast(some), "doc_id"))
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return spec_bpe.digest(documents(spark, sf_dir, "doc_id", "text"), vocabulary_path()).drop("text")
+
+
+QUERIES = {"op9_speculative_bpe": op9_speculative_bpe, "op4_line_crf": op4_line_crf, "op3_divergence_rules": op3_divergence_rules, "op1_language_id": op1_language_id}
 ORACLES: dict[str, str] = {}

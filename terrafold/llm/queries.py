@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import divergence, language_id, line_crf, spec_bpe
-from terrafold.llm.common import configure, documents, fold_crc
+from terrafold.llm import decontam, divergence, language_id, line_crf, line_dedup, spec_bpe, token_store
+from terrafold.llm.common import configure, documents, fold_crc, shared_dir
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,5 +51,69 @@ def op9_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spec_bpe.digest(documents(spark, sf_dir, "doc_id", "text"), vocabulary_path()).drop("text")
 
 
-QUERIES = {"op9_speculative_bpe": op9_speculative_bpe, "op4_line_crf": op4_line_crf, "op3_divergence_rules": op3_divergence_rules, "op1_language_id": op1_language_id}
-ORACLES: dict[str, str] = {}
+def op10_elias_fano_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    path = shared_dir(spark)
+    token_store.write(documents(spark, sf_dir, "doc_id", "text"), path, vocabulary_path())
+    return token_store.read(spark, path)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    cut = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+with cut as (
+  select doc_id, coalesce(text, '') as text, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos
+  from documents),
+keyed as (
+  select doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from cut),
+common as (
+  select key, max(doc_id) as keeper from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+marked as (
+  select k.*, c.key is not null and k.doc_id <> c.keeper as gone from keyed k left join common c on k.key = c.key)
+select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    items = F.array_join("items", ",")
+    return decontam.report(docs, benchmark).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated")
+
+
+def words_sql(column: str) -> str:
+    """DuckDB: the words of op5."""
+    lower = f"translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+OP5_SQL = f"""
+with d as (select doc_id, {words_sql("text")} as w from documents),
+b as (select item_id, {words_sql("text")} as w from benchmark where item_id is not null),
+win as (
+  select distinct item_id, least(len(w), 10) as n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as t
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)),
+lens as (select distinct n from win),
+places as (
+  select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as t
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, lens where len(w) >= n)),
+hit as (select x.doc_id, x.i, x.n, win.item_id from places x join win on x.n = win.n and x.t = win.t),
+hits as (select doc_id, count(distinct p)::bigint as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by doc_id),
+its as (select doc_id, count(*)::bigint as n_items, string_agg(s, ',' order by s) as ids from (select distinct doc_id, item_id::varchar as s from hit) group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hits on d.doc_id = hits.doc_id left join its on d.doc_id = its.doc_id
+"""
+
+
+QUERIES = {"op5_decontamination": op5_decontamination, "op8_line_dedup": op8_line_dedup, "op10_elias_fano_store": op10_elias_fano_store, "op9_speculative_bpe": op9_speculative_bpe, "op4_line_crf": op4_line_crf, "op3_divergence_rules": op3_divergence_rules, "op1_language_id": op1_language_id}
+ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL, "op8_line_dedup": OP8_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import decontam, divergence, language_id, line_crf, line_dedup, spec_bpe, token_store
+from terrafold.llm import decontam, divergence, jaccard_join, language_id, line_crf, line_dedup, spec_bpe, token_store
 from terrafold.llm.common import configure, documents, fold_crc, shared_dir
 
 
@@ -115,5 +115,29 @@ from d left join hits on d.doc_id = hits.doc_id left join its on d.doc_id = its.
 """
 
 
-QUERIES = {"op5_decontamination": op5_decontamination, "op8_line_dedup": op8_line_dedup, "op10_elias_fano_store": op10_elias_fano_store, "op9_speculative_bpe": op9_speculative_bpe, "op4_line_crf": op4_line_crf, "op3_divergence_rules": op3_divergence_rules, "op1_language_id": op1_language_id}
-ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL, "op8_line_dedup": OP8_SQL}
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return jaccard_join.linked(documents(spark, sf_dir, "doc_id", "text"))
+
+
+OP7_SQL = r"""
+with w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select distinct doc_id, sh from (
+    select doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i + 4], ' ') end as sh
+    from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0))),
+n as (select doc_id, count(*)::bigint as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 80 * (x.n + y.n - i)),
+e as (select a, b from l union select b, a from l),
+r as (
+  with recursive r(doc_id, root) as (select doc_id, doc_id from w union select e.b, r.root from r join e on e.a = r.doc_id)
+  select doc_id, min(root) as component_id from r group by doc_id)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, r.component_id from w left join n on n.doc_id = w.doc_id join r on r.doc_id = w.doc_id
+"""
+
+
+QUERIES = {"op7_jaccard_join": op7_jaccard_join, "op5_decontamination": op5_decontamination, "op8_line_dedup": op8_line_dedup, "op10_elias_fano_store": op10_elias_fano_store, "op9_speculative_bpe": op9_speculative_bpe, "op4_line_crf": op4_line_crf, "op3_divergence_rules": op3_divergence_rules, "op1_language_id": op1_language_id}
+ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op8_line_dedup": OP8_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import decontam, divergence, hmm_lm, jaccard_join, language_id, line_crf, line_dedup, spec_bpe, token_store
+from terrafold.llm import decontam, divergence, hmm_lm, jaccard_join, language_id, line_crf, line_dedup, paragraph_dedup, spec_bpe, token_store
 from terrafold.llm.common import configure, documents, fold_crc, shared_dir
 
 
@@ -150,5 +150,10 @@ def op2_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 2).alias("held_out"), *(c for c in scored.columns if c != "doc_id"))
 
 
-QUERIES = {"op2_hmm_lm": op2_hmm_lm, "op7_jaccard_join": op7_jaccard_join, "op5_decontamination": op5_decontamination, "op8_line_dedup": op8_line_dedup, "op10_elias_fano_store": op10_elias_fano_store, "op9_speculative_bpe": op9_speculative_bpe, "op4_line_crf": op4_line_crf, "op3_divergence_rules": op3_divergence_rules, "op1_language_id": op1_language_id}
+def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return paragraph_dedup.repeated_passages(documents(spark, sf_dir, "doc_id", "text"))
+
+
+QUERIES = {"op6_paragraph_dedup": op6_paragraph_dedup, "op2_hmm_lm": op2_hmm_lm, "op7_jaccard_join": op7_jaccard_join, "op5_decontamination": op5_decontamination, "op8_line_dedup": op8_line_dedup, "op10_elias_fano_store": op10_elias_fano_store, "op9_speculative_bpe": op9_speculative_bpe, "op4_line_crf": op4_line_crf, "op3_divergence_rules": op3_divergence_rules, "op1_language_id": op1_language_id}
 ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op8_line_dedup": OP8_SQL}

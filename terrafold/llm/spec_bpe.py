@@ -307,6 +307,11 @@ def digest(docs: DataFrame, vocabulary_path: str, *, text: str = "text") -> Data
     return _mapped(docs, vocabulary_path, text, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())])
 
 
+def encode_with_digest(docs: DataFrame, vocabulary_path: str, *, text: str = "text") -> DataFrame:
+    """``encode`` and ``digest`` in one pass."""
+    return _mapped(docs, vocabulary_path, text, [("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType())), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())])
+
+
 #: Encoders of this worker by vocabulary: tables are built once in a process, not once in a task.
 _ENCODERS: dict[str, Encoder] = {}
 

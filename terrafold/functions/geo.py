@@ -125,9 +125,9 @@ def box_centre(box: Column) -> Column:
 
 
 def grid_key(lat: Column, lon: Column, decimals: int = 2) -> Column:
-    """Text key of a grid cell."""
-    number = f"%.{decimals}f"
-    return F.format_string(f"{number}_{number}", lat, lon)
+    """Text key of a grid cell, halves rounded upward."""
+    number, scale = f"%.{decimals}f", 10.0**decimals
+    return F.format_string(f"{number}_{number}", F.floor(lat * scale + 0.5) / scale, F.floor(lon * scale + 0.5) / scale)
 
 
 def circle_ring(lat: Column, lon: Column, degrees: Column, vertices: int = 64) -> Column:

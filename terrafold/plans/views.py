@@ -83,9 +83,14 @@ def query(name: str, *tables: str, sql: str | None = None):
         if sql is not None:
             own = [t for t in tables if t in VIEWS or t == "weather_days"]
             text = sql.strip()
-            if own and text[:4].lower() == "with":
-                text = ctes(*own).rstrip() + ", " + text[4:]
-            ORACLES[name] = text if not own or text.startswith("WITH ") else ctes(*own) + text
+            first, _, rest = text.partition(" ")
+            if own and first.lower() == "with":
+                recursive, _, tail = rest.partition(" ")
+                rest, start = (tail, "WITH RECURSIVE ") if recursive.lower() == "recursive" else (rest, "WITH ")
+                text = start + ctes(*own)[5:].rstrip() + ", " + rest
+            elif own:
+                text = ctes(*own) + text
+            ORACLES[name] = text
         return f
 
     return add

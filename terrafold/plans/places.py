@@ -73,12 +73,11 @@ def tile_features(features: DataFrame) -> DataFrame:
     return spatial.tiles_of_points(features, 6).groupBy("x", "y").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
-FENCE_RING = box_ring()
 
 
 @query("j7_point_in_polygon", "positions", "geofences", sql="select p.id, g.id as fence_id from positions p join geofences g on p.lon >= g.west and p.lon < g.west + 0.8::double and p.lat >= g.south and p.lat < g.south + 0.8::double")
 def point_in_polygon(positions: DataFrame, fences: DataFrame) -> DataFrame:
-    polygons = fences.select(F.col("id").alias("fence_id"), F.array(FENCE_RING).alias("rings"))
+    polygons = fences.select(F.col("id").alias("fence_id"), F.array(box_ring()).alias("rings"))
     return spatial.polygon_join(positions, polygons, cell=0.5).select("id", "fence_id")
 
 
@@ -187,7 +186,7 @@ w as (select *, lag(inside) over (partition by asset_id, fence_id order by time,
 select asset_id, fence_id, time, id, case when not was and inside then 'enter' else 'exit' end as event from w where (not was and inside and alert_on_enter) or (was and not inside and alert_on_exit)""")
 def geofence_transitions(positions: DataFrame, fences: DataFrame) -> DataFrame:
     """W5 without a row for each point and fence: a change only happens at an inside row or just after one."""
-    flags = fences.select(F.col("id").alias("fence_id"), "alert_on_enter", "alert_on_exit", F.array(FENCE_RING).alias("rings"))
+    flags = fences.select(F.col("id").alias("fence_id"), "alert_on_enter", "alert_on_exit", F.array(box_ring()).alias("rings"))
     order = W.partitionBy("asset_id").orderBy("time", "id")
     rows = positions.withColumn("n", F.row_number().over(order)).withColumn("next", F.lead(F.struct("time", "id")).over(order))
     inside = spatial.polygon_join(rows, flags, cell=0.5)

@@ -22,7 +22,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Great-circle metres, asin form."""
-    return 2 * EARTH_M * F.asin(F.least(F.sqrt(_half_chord(lat1, lon1, lat2, lon2)), F.lit(1.0)))
+    half = F.sqrt(_half_chord(lat1, lon1, lat2, lon2))
+    return 2 * EARTH_M * F.asin(F.when(half > 1, F.lit(1.0)).otherwise(half))
 
 
 def ring_area_m2(ring: Column) -> Column:

@@ -230,7 +230,7 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: Hmm, *, doc_i
             log_count[known] = np.log10(lex.head_counts[place[known]] + 1)
             inner = np.where(place >= lex.own, log_count, 0)  # within an ending class
             of, n = owner(at), len(offsets) - 1
-            total = lambda x: np.bincount(of, weights=x[codes], minlength=n)
+            total = lambda x: np.bincount(of, weights=x[codes], minlength=n).astype(np.float64)
             hmm = likelihoods(model, offsets, obs) / np.log(10) - np.add.reduceat(share[obs], offsets[:-1]) + total(inner)
             columns = [table.column("doc_id").combine_chunks(), table.column("k1").combine_chunks(), table.column("k2").combine_chunks(), pa.array(np.diff(offsets)), pa.array(total(known.astype(np.float64)).astype(np.int64)), pa.array(total(log_count)), pa.array(hmm)]
             yield from pa.Table.from_arrays(columns, names=["doc_id", "k1", "k2", "n_tokens", "head_known", "head_logs", "hmm"]).to_batches()

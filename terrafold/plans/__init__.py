@@ -1,6 +1,6 @@
 """Registered queries over the logical tables."""
 
-from terrafold.plans import core, places
+from terrafold.plans import context, core, places
 from terrafold.plans.views import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "core", "places"]
+__all__ = ["ORACLES", "QUERIES", "context", "core", "places"]

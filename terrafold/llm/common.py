@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -14,26 +12,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrafold.operators.storage import materialize, shared_dir  # noqa: F401  the operators take both from here
+
 #: Text bytes that a Python task works on at a time (a longer text is one piece).
 PIECE_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def configure(spark: SparkSession) -> None:
     """Bound the Arrow batches by rows and bytes, so that long texts don't make huge batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PIECE_BYTES))
 
 
@@ -118,6 +105,21 @@ def fold_of(doc_ids: list, modulus: int) -> np.ndarray:
     return np.array([zlib.crc32(("null" if d is None else str(d)).encode()) % modulus for d in doc_ids], np.int64)
 
 
+def head_rows(df: DataFrame, count: str, most: int) -> DataFrame:
+    """Rows with the largest counts, ``most`` at most: whole sixteenths of an octave of the count, from the top.
+
+    All of ``df`` if it has no more rows. Only a histogram of the counts is gathered, so no task sorts the table.
+    """
+    level = F.floor(F.log2(F.col(count).cast("double")) * 16)
+    total, lowest = 0, None
+    for r in df.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        total += r["count"]
+        if total > most:
+            break
+        lowest = r["level"]
+    return df.where(F.lit(False) if lowest is None else level >= lowest)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The documents table with the named columns."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)

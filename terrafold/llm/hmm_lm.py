@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import materialize, owner, pieces, texts, words
+from terrafold.llm.common import head_rows, materialize, owner, pieces, texts, words
 
 ENDINGS = 64
 #: Words kept in tasks are no longer than this many bytes.
@@ -76,8 +76,8 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 def lexicon(counts: DataFrame, n_texts: int, *, head: int = 1 << 17, own: int = 1 << 13) -> Lexicon:
-    """The bounded part of the counts: ``head`` words of at most HEAD_BYTES bytes, of which ``own`` are classes."""
-    top = counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(head).toArrow()
+    """The bounded part of the counts: at most ``head`` words of at most HEAD_BYTES bytes, of which ``own`` are classes."""
+    top = head_rows(counts.where(F.octet_length("word") <= HEAD_BYTES), "c", head).orderBy(F.desc("c"), "word").toArrow()
     names, n = top.column("word").to_pylist(), top.column("c").to_numpy()
     own = min(own, len(names))
     session = counts.sparkSession
@@ -118,7 +118,7 @@ class Hmm:
         return cls(np.full(states, 1 / states), trans, emit / emit.sum(axis=0))
 
 
-def groups(offsets: np.ndarray, room: int = 200_000) -> Iterator[np.ndarray]:
+def groups(offsets: np.ndarray, room: int = 600_000) -> Iterator[np.ndarray]:
     """Rows by falling length, in groups of about ``room`` values."""
     n = np.diff(offsets)
     order = np.argsort(-n, kind="stable")
@@ -126,20 +126,30 @@ def groups(offsets: np.ndarray, room: int = 200_000) -> Iterator[np.ndarray]:
     yield from np.split(order, np.flatnonzero(np.diff(cut)) + 1) if len(order) else []
 
 
-def forward(model: Hmm, offsets: np.ndarray, obs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward recursion of the rows (by falling length) at once: natural log likelihoods, and what the way back needs."""
+def forward(model: Hmm, offsets: np.ndarray, obs: np.ndarray, rows: np.ndarray, kind: type = np.float64) -> tuple[np.ndarray, ...]:
+    """Scaled forward recursion of the rows (by falling length) at once: natural log likelihoods, and what the way back needs.
+
+    Values lie by step, then by row, so each step reads and writes one block.
+    """
     n = np.diff(offsets)[rows]
-    at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-    seen = obs[np.repeat(offsets[:-1][rows] - at[:-1], n) + np.arange(at[-1])]
-    emitted = model.emit[seen]
-    alpha, scale = np.empty_like(emitted), np.empty(len(seen))
-    active = np.searchsorted(-n, -np.arange(int(n[0])), "left")
-    for t in range(int(n[0])):
-        here = at[: active[t]] + t
-        a = (alpha[here - 1] @ model.trans if t else model.start) * emitted[here]
-        scale[here] = c = a.sum(axis=1)
-        alpha[here] = a / c[:, None]
-    return np.add.reduceat(np.log(scale), at[:-1]), seen, emitted, alpha, scale
+    steps = int(n[0])
+    active = np.searchsorted(-n, -np.arange(steps + 1), "left")
+    base = np.concatenate([[0], np.cumsum(active[:-1])]).astype(np.int64)
+    row, step = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    seen = np.empty(len(row), obs.dtype)
+    seen[base[step] + row] = obs[np.repeat(offsets[:-1][rows], n) + step]
+    emitted = model.emit.astype(kind)[seen]
+    alpha, scale, trans = np.empty_like(emitted), np.empty(len(seen), kind), model.trans.astype(kind)
+    before = model.start.astype(kind)[None]
+    for t in range(steps):
+        a = alpha[base[t] : base[t + 1]]
+        np.multiply(before[: len(a)] @ trans if t else before, emitted[base[t] : base[t + 1]], out=a)
+        c = a.sum(axis=1)
+        scale[base[t] : base[t + 1]] = c
+        a /= c[:, None]
+        before = a
+    total = np.bincount(np.arange(len(seen)) - np.repeat(base[:-1], active[:-1]), weights=np.log(scale.astype(np.float64)), minlength=len(n))
+    return total, seen, emitted, alpha, scale, base
 
 
 def likelihoods(model: Hmm, offsets: np.ndarray, obs: np.ndarray) -> np.ndarray:
@@ -151,24 +161,22 @@ def likelihoods(model: Hmm, offsets: np.ndarray, obs: np.ndarray) -> np.ndarray:
 
 
 def expected(model: Hmm, offsets: np.ndarray, obs: np.ndarray, start: np.ndarray, trans: np.ndarray, emit: np.ndarray) -> None:
-    """Add the expected counts of all rows to the three tables."""
+    """Add the expected counts of all rows to the three tables (each recursion in single precision, sums in double)."""
     for rows in groups(offsets):
-        _, seen, emitted, alpha, scale = forward(model, offsets, obs, rows)
-        n = np.diff(offsets)[rows]
-        at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)[:-1]
-        active = np.searchsorted(-n, -np.arange(int(n[0]) + 1), "left")
-        beta = np.ones_like(alpha)
-        pairs = np.zeros_like(trans)
-        for t in range(int(n[0]) - 2, -1, -1):
-            here = at[: active[t + 1]] + t
-            ahead = emitted[here + 1] * beta[here + 1] / scale[here + 1][:, None]
-            beta[here] = ahead @ model.trans.T
-            pairs += alpha[here].T @ ahead
+        _, seen, emitted, alpha, scale, base = forward(model, offsets, obs, rows, np.float32)
+        back = model.trans.T.astype(np.float32)
+        emitted /= scale[:, None]
+        beta, pairs = np.ones_like(alpha), np.zeros_like(trans)
+        for t in range(len(base) - 3, -1, -1):
+            n = base[t + 2] - base[t + 1]
+            ahead = emitted[base[t + 1] : base[t + 2]] * beta[base[t + 1] : base[t + 2]]
+            np.matmul(ahead, back, out=beta[base[t] : base[t] + n])
+            pairs += alpha[base[t] : base[t] + n].T @ ahead
         trans += pairs * model.trans
-        post = alpha * beta
-        start += post[at].sum(axis=0)
-        for k in range(post.shape[1]):
-            emit[:, k] += np.bincount(seen, weights=post[:, k], minlength=len(emit))
+        beta *= alpha
+        start += beta[: base[1]].sum(axis=0)
+        for k in range(beta.shape[1]):
+            emit[:, k] += np.bincount(seen, weights=beta[:, k], minlength=len(emit))
 
 
 def updated(lex: Lexicon, start: np.ndarray, trans: np.ndarray, emit: np.ndarray, weight: float = 200.0) -> Hmm:
@@ -177,6 +185,18 @@ def updated(lex: Lexicon, start: np.ndarray, trans: np.ndarray, emit: np.ndarray
     return Hmm((start + 1) / (start + 1).sum(), (trans + 1) / (trans + 1).sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
+def class_lists(train: DataFrame, lexicon_) -> DataFrame:
+    """The classes of every training text, packed as little-endian 32-bit numbers, so that the passes need not cut texts again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in pieces(batches):
+            offsets, obs, *_ = observed(texts(table), lexicon_.value)
+            lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), table.num_rows, [None, pa.py_buffer(offsets * 4), pa.py_buffer(obs.astype("<i4"))])
+            yield from pa.table({"classes": lists.cast(pa.binary())}).to_batches(max_chunksize=2000)
+
+    return train.select("text").mapInArrow(run, "classes binary")
+
+
 def baum_welch(train: DataFrame, lex: Lexicon, *, states: int = 10, passes: int = 3, warm_docs: int = 500, warm_chars: int = 20_000, warm_steps: int = 12) -> Hmm:
     """``passes`` Baum-Welch steps over all of ``train``, from a start fitted to ``warm_docs`` texts of at most ``warm_chars`` characters."""
     model = Hmm.first(lex, states)
@@ -191,19 +211,24 @@ def baum_welch(train: DataFrame, lex: Lexicon, *, states: int = 10, passes: int
     columns = [f"s{k}" for k in range(states)]
     schema = "kind int, " + ", ".join(f"{c} double" for c in columns)
     lexicon_ = train.sparkSession.sparkContext.broadcast(lex)  # bounded by head * HEAD_BYTES
+    encoded = materialize(class_lists(train, lexicon_))
     for _ in range(passes):
 
         def run(batches: Iterator[pa.RecordBatch], model: Hmm = model) -> Iterator[pa.RecordBatch]:
             lex, (start, trans, emit) = lexicon_.value, tables()
-            for table in pieces(batches):
-                offsets, obs, *_ = observed(texts(table), lex)
+            for table in pieces(batches, "classes"):
+                rows = table.column("classes").combine_chunks().cast(pa.large_binary())
+                lengths = pc.binary_length(rows).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+                first = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset] // 4
+                obs = np.frombuffer(rows.buffers()[2], "<i4")[first : first + offsets[-1]]
                 expected(model, offsets, obs, start, trans, emit)
             some = np.flatnonzero(emit.sum(axis=1))
             rows = np.concatenate([start[None], trans, emit[some]])
             kinds = np.concatenate([[-1], -2 - np.arange(states), some]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.array(rows[:, k]) for k in range(states))], names=["kind", *columns])
 
-        summed = train.mapInArrow(run, schema).groupBy("kind").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+        summed = encoded.mapInArrow(run, schema).groupBy("kind").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
         kinds, rows = summed.column("kind").to_numpy(), np.stack([summed.column(c).to_numpy() for c in columns], axis=1)
         start, trans, emit = tables()
         start += rows[kinds == -1].sum(axis=0)

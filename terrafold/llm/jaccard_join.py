@@ -6,10 +6,10 @@ from a bounded table of the most frequent tokens. Two similar sets share a token
 prefix are indexed alone, and frequent ones in combinations of two. Sets above ``combine_to`` tokens index frequent
 tokens alone (combinations would grow with the square of the prefix), and those from 80 % of it on do both.
 
-Within a list of equal keys, sets are first compared with a pivot of their size class. Verified links give
-components, and then every pair of sets in a list that still lie in different components is compared too, after
-length and position bounds; so no link between components is lost, and a list of near copies costs one comparison
-each. Lists of very frequent keys never meet in one task: their pivots come from a partial aggregate.
+Within a list of equal keys, sets are first compared with a pivot of their size class, the set that can share most
+with others (among near copies the one with the fewest edits, so one comparison links almost all). Verified links
+give components, and then every pair of sets in a list that lie in different components is compared too, after length
+and position bounds. So no link between components is lost. Lists of very frequent keys never meet in one task: their pivots come from a partial aggregate.
 
 Rules for odd input: null or wordless text has an empty set, links with nothing and is its own component; fewer
 words than a shingle form one shingle; rows with a null doc_id get their size, and a component only from ids of
@@ -27,13 +27,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import hashed, materialize, mix, owner, pieces, rolled, texts, words
-from terrafold.llm.components import components
+from terrafold.llm.common import hashed, head_rows, materialize, mix, owner, pieces, rolled, texts, words
+from terrafold.operators.components import components
 
 #: Bits of a token that its count goes by (a clash only changes the order of tokens).
 PRINT_BITS = 40
 #: Counts from here on are listed, at most so many of the largest.
 LISTED_FROM, LISTED = 16, 1 << 20
+#: Ids of representatives up to this many are broadcast.
+MAX_BROADCAST = 2_000_000
 #: Tokens with this count are frequent; with that count their lists are dealt out.
 FREQUENT_FROM, SPREAD_FROM = 256, 4096
 
@@ -116,7 +118,7 @@ def token_counts(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
         return pa.table({"print": pa.array(prints[starts[often]]), "n": pa.array(n[often])})
 
     counts = docs.mapInArrow(pack, "bucket int, prints binary").groupBy("bucket").applyInArrow(count, "print long, n long")
-    top = counts.orderBy(F.desc("n"), "print").limit(LISTED).toArrow()
+    top = head_rows(materialize(counts), "n", LISTED).toArrow()
     prints, n = (top.column(k).to_numpy() for k in ("print", "n"))
     order = np.argsort(prints)
     return prints[order], n[order]
@@ -192,11 +194,12 @@ def pivot_pairs(table: pa.Table, percent: int) -> list[pa.Table]:
     key, node, size, reach, run = key[many], node[many], size[many], reach[many], run[many]
     level = np.floor(np.log(size) / np.log(100 / percent)).astype(np.int64)
     head = np.concatenate([[True], (run[1:] != run[:-1]) | (level[1:] != level[:-1])])
-    pivot = np.maximum.accumulate(np.where(head, np.arange(len(run)), 0))
-    heads = np.flatnonzero(head)
-    to = pivot.copy()
-    to[heads[1:]] = heads[:-1]  # a size class's pivot meets the one before it
-    to[heads[0]] = heads[0]
+    group = np.cumsum(head) - 1
+    by_reach = np.lexsort((node, -reach, group))  # the set with the fewest rarer tokens is nearest to the others
+    pivots = by_reach[np.flatnonzero(head)]
+    to = pivots[group]
+    to[pivots[1:]] = pivots[:-1]  # a size class's pivot meets the one before it
+    to[pivots[0]] = pivots[0]
     ok = (to != np.arange(len(run))) & (run == run[to])
     ok &= np.minimum(reach, reach[to]) >= overlap_needed(size.astype(np.int64), size[to].astype(np.int64), percent)
     a, b = np.minimum(node, node[to])[ok], np.maximum(node, node[to])[ok]
@@ -234,7 +237,7 @@ def candidates(entries: DataFrame, percent: int) -> DataFrame:
 
     near = few.mapInArrow(run, FOUND)
     hot = entries.where("spread").drop("spread").withColumn("level", F.floor(F.log("size") / float(np.log(100 / percent))))
-    pivots = hot.groupBy("key", "level").agg(F.min(F.struct("size", "node", "reach")).alias("p"))
+    pivots = hot.groupBy("key", "level").agg(F.min_by(F.struct("size", "node", "reach"), F.struct(-F.col("reach"), "node")).alias("p"))
     met = hot.join(pivots, ["key", "level"]).where(passes("size", "reach", "p.size", "p.reach", percent) & (F.col("node") != F.col("p.node")))
     below = pivots.select("key", (F.col("level") + 1).alias("level"), F.col("p").alias("q"))
     chained = pivots.join(below, ["key", "level"]).where(passes("p.size", "p.reach", "q.size", "q.reach", percent) & (F.col("p.node") != F.col("q.node")))
@@ -249,25 +252,32 @@ def passes(size_a: str, reach_a: str, size_b: str, reach_b: str, percent: int):
     return (F.least(reach_a, reach_b) * (100 + percent) >= total) & (F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * percent)
 
 
-def across(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def open_lists(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries of lists whose sets lie in two components or more, with ``label`` and the list's largest component (``main``)."""
+    named = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counts = named.groupBy("key", "label").count()
+    main = counts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    return materialize(named.join(main.select("key", "main"), "key"))
+
+
+def across(lists: DataFrame, percent: int) -> DataFrame:
     """Every pair in a list whose sets lie in different components and pass the bounds.
 
     The list's largest component meets only the others, so a list of mostly linked sets costs its exceptions times its length.
     """
-    named = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).distinct()
-    counts = named.groupBy("key", "label").count()
-    main = counts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main")
-    split = materialize(named.join(main, "key"))
-    other = split.where("label <> main")
-    x, y = other.alias("x"), split.alias("y")
+    x, y = lists.where("label <> main").alias("x"), lists.alias("y")
     differ = (F.col("x.key") == F.col("y.key")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.label") < F.col("y.label")))
     met = x.join(y, differ & passes("x.size", "x.reach", "y.size", "y.reach", percent))
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs of nodes whose sets, made anew from the texts of their representatives, are similar enough."""
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(reps, "node")
+def sides(pairs: DataFrame) -> DataFrame:
+    """The distinct nodes of pairs."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def sets_of(needed: DataFrame, docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """``node`` and packed ``tokens`` of the needed nodes, made anew from the texts of their representatives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in pieces(batches):
@@ -277,8 +287,15 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, per
             sets = pa.array([tokens[bounds[k] : bounds[k + 1]].tobytes() for k in at], pa.binary())
             yield from pa.Table.from_arrays([pa.array(node[at]), sets], names=["node", "tokens"]).to_batches(max_chunksize=500)
 
-    sets = docs.join(needed.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "node").mapInArrow(run, "node long, tokens binary")
-    sets = materialize(sets.dropDuplicates(["node"]))
+    wanted = materialize(needed.join(reps, "node").withColumnRenamed("rep", "doc_id"))
+    if wanted.count() <= MAX_BROADCAST:  # two numbers a row; more are joined by a shuffle of the texts
+        wanted = F.broadcast(wanted)
+    sets = docs.join(wanted, "doc_id").select("text", "node").mapInArrow(run, "node long, tokens binary")
+    return materialize(sets.dropDuplicates(["node"]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of nodes whose sets are similar enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,12 +318,13 @@ def linked(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width
     reps = materialize(thin.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
     prints, counts = token_counts(docs, width)
     found = materialize(candidates(index_entries(docs, prints, counts, width, percent, combine_to), percent))
-    first = materialize(found.where("a is not null").select("a", "b").distinct())
-    links = verified(first, docs, reps, width, percent)
-    entries = found.where("key is not null").select("key", "node", "size", "reach")
-    second = materialize(across(entries, components(links), percent).join(first, ["a", "b"], "left_anti"))
-    late = verified(second, docs, reps, width, percent)
-    labels = materialize(components(links.unionByName(late)))
+    checked = materialize(found.where("a is not null").select("a", "b").distinct())
+    entries = found.where("key is not null").select("key", "node", "size", "reach").distinct()
+    sets = sets_of(sides(checked), docs, reps, width)
+    links = verified(checked, sets, percent)
+    late = materialize(across(open_lists(entries, components(links)), percent).join(checked, ["a", "b"], "left_anti"))
+    more = sets_of(sides(late).join(sets, "node", "left_anti"), docs, reps, width)
+    labels = materialize(components(links.unionByName(verified(late, sets.unionByName(more), percent))))
     least = labels.join(reps, "node").groupBy("label").agg(F.min("rep").alias("component_id"))
     to = reps.join(labels, "node", "left").join(least, "label", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
     out = thin.join(to, "node", "left")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from terrafold.operators.storage import materialize, shared_dir  # noqa: F401  the operators take both from here
 
 #: Text bytes that a Python task works on at a time (a longer text is one piece).
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 8 << 20
 
 
 def configure(spark: SparkSession) -> None:
@@ -42,6 +42,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             if at < batch.num_rows:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield pa.Table.from_batches(held)
 

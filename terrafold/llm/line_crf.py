@@ -118,11 +118,11 @@ def fit(
     """Fit on a bounded sample of the labelled rows: the ``sample_docs`` smallest hashes among texts of at most ``max_lines`` lines and ``max_chars`` characters."""
     rows = labelled.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
     small = rows.where((F.length("text") <= max_chars) & (F.length(F.translate("text", "\n", "")) >= F.length("text") - (max_lines - 1)))
-    few = small.orderBy(F.xxhash64("text"), "text", "y").limit(sample_docs).collect()
-    y = np.array([r["y"] for r in few], np.float64)
+    few = small.orderBy(F.xxhash64("text"), "text", "y").limit(sample_docs).toArrow()
+    y = few.column("y").to_numpy().astype(np.float64)
     if len(set(y)) < 2:
         return LineModel((), np.zeros(3 * len(BASE)), np.zeros((2, 2)), float(y.mean()) if len(y) else 1.0)
-    column = pa.array([r["text"] for r in few], pa.large_string())
+    column = texts(few)
     top = pc.value_counts(words(column)[1]).to_pylist()
     common = tuple(x["values"] for x in sorted(top, key=lambda x: (-x["counts"], x["values"]))[:common_words])
     offsets, x, _ = features(column, common)

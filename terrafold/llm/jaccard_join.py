@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -177,7 +178,7 @@ def index_entries(docs: DataFrame, prints: np.ndarray, counts: np.ndarray, width
     return docs.mapInArrow(run, ENTRIES)
 
 
-FOUND = "a long, b long, key long, node long, size int, reach int"
+FOUND = "a long, b long, key long, node long, size int, reach int, spread boolean"
 
 
 def pivot_pairs(table: pa.Table, percent: int) -> list[pa.Table]:
@@ -207,19 +208,27 @@ def pivot_pairs(table: pa.Table, percent: int) -> list[pa.Table]:
     nothing = lambda n, kind: pa.nulls(n, kind)
     names = [x.split()[0] for x in FOUND.split(", ")]
     return [
-        pa.Table.from_arrays([pa.array(a), pa.array(b), nothing(len(a), pa.int64()), nothing(len(a), pa.int64()), nothing(len(a), pa.int32()), nothing(len(a), pa.int32())], names=names),
-        pa.Table.from_arrays([nothing(more.sum(), pa.int64()), nothing(more.sum(), pa.int64()), pa.array(key[more]), pa.array(node[more]), pa.array(size[more]), pa.array(reach[more])], names=names),
+        pa.Table.from_arrays([pa.array(a), pa.array(b), nothing(len(a), pa.int64()), nothing(len(a), pa.int64()), nothing(len(a), pa.int32()), nothing(len(a), pa.int32()), nothing(len(a), pa.bool_())], names=names),
+        pa.Table.from_arrays([nothing(more.sum(), pa.int64()), nothing(more.sum(), pa.int64()), pa.array(key[more]), pa.array(node[more]), pa.array(size[more]), pa.array(reach[more]), pa.array(np.zeros(int(more.sum()), bool))], names=names),
     ]
 
 
-def candidates(entries: DataFrame, percent: int) -> DataFrame:
+def candidates(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (``a``, ``b``) with pivots and the entries (``key``, ``node``, ``size``, ``reach``) of longer lists."""
-    few = entries.where("not spread").repartition("key").sortWithinPartitions("key", "size", "node")
+    salt = F.when(F.col("spread"), F.pmod("node", F.lit(64))).otherwise(F.lit(0))  # lists of very frequent keys are dealt out
+    dealt = entries.withColumn("salt", salt).repartition("key", "salt").drop("salt").sortWithinPartitions("key", "size", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
+        names = [x.split()[0] for x in FOUND.split(", ")]
         for batch in batches:
+            if (hot := batch.filter(batch.column("spread"))).num_rows:
+                columns = [pa.nulls(hot.num_rows, pa.int64())] * 2 + [hot.column(c) for c in ("key", "node", "size", "reach", "spread")]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                batch = batch.filter(pc.invert(batch.column("spread")))
+            if not batch.num_rows:
+                continue
             held.append(batch)
             rows += batch.num_rows
             if rows < 200_000:
@@ -235,15 +244,15 @@ def candidates(entries: DataFrame, percent: int) -> DataFrame:
             for made in pivot_pairs(pa.Table.from_batches(held).combine_chunks(), percent):
                 yield from made.to_batches()
 
-    near = few.mapInArrow(run, FOUND)
-    hot = entries.where("spread").drop("spread").withColumn("level", F.floor(F.log("size") / float(np.log(100 / percent))))
+    near = materialize(dealt.mapInArrow(run, FOUND))
+    hot = near.where("spread").select("key", "node", "size", "reach").withColumn("level", F.floor(F.log("size") / float(np.log(100 / percent))))
     pivots = hot.groupBy("key", "level").agg(F.min_by(F.struct("size", "node", "reach"), F.struct(-F.col("reach"), "node")).alias("p"))
     met = hot.join(pivots, ["key", "level"]).where(passes("size", "reach", "p.size", "p.reach", percent) & (F.col("node") != F.col("p.node")))
     below = pivots.select("key", (F.col("level") + 1).alias("level"), F.col("p").alias("q"))
     chained = pivots.join(below, ["key", "level"]).where(passes("p.size", "p.reach", "q.size", "q.reach", percent) & (F.col("p.node") != F.col("q.node")))
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     pairs = met.select(*pair("node", "p.node")).unionByName(chained.select(*pair("p.node", "q.node")))
-    return near.unionByName(pairs, allowMissingColumns=True).unionByName(hot.drop("level"), allowMissingColumns=True)
+    return near.select("a", "b").where("a is not null").unionByName(pairs), near.where("key is not null").select("key", "node", "size", "reach")
 
 
 def passes(size_a: str, reach_a: str, size_b: str, reach_b: str, percent: int):
@@ -317,9 +326,8 @@ def linked(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width
     thin = materialize(nodes_of(docs, width))
     reps = materialize(thin.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
     prints, counts = token_counts(docs, width)
-    found = materialize(candidates(index_entries(docs, prints, counts, width, percent, combine_to), percent))
-    checked = materialize(found.where("a is not null").select("a", "b").distinct())
-    entries = found.where("key is not null").select("key", "node", "size", "reach").distinct()
+    pairs, lists = candidates(index_entries(docs, prints, counts, width, percent, combine_to), percent)
+    checked, entries = materialize(pairs.distinct()), lists.distinct()
     sets = sets_of(sides(checked), docs, reps, width)
     links = verified(checked, sets, percent)
     late = materialize(across(open_lists(entries, components(links)), percent).join(checked, ["a", "b"], "left_anti"))

@@ -167,3 +167,13 @@ def test_passages_odd_input(spark):
 
 def test_kept_hash_of_empty_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_passages_of_documents_that_are_not_their_bands_first(spark):
+    run = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    passage = run("p", 55).split()
+    rows = [(100 + k, f"{run(f'c{k}x', 60)} {' '.join(passage[k : k + 30])} {run(f'd{k}x', 60)}") for k in range(0, 26)]
+    rows += [(500, f"{run('e', 70)} {' '.join(passage)} {run('f', 70)}"), (501, f"{run('g', 90)} {' '.join(passage)} {run('h', 40)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["start_word"], r["n_words"], r["cluster"], r["removed"]) for r in paragraph_dedup.repeated_passages(docs).collect())
+    assert got == [(500, 70, 55, 500, False), (501, 90, 55, 500, True)]

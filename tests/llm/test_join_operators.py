@@ -177,3 +177,12 @@ def test_passages_of_documents_that_are_not_their_bands_first(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"], r["start_word"], r["n_words"], r["cluster"], r["removed"]) for r in paragraph_dedup.repeated_passages(docs).collect())
     assert got == [(500, 70, 55, 500, False), (501, 90, 55, 500, True)]
+
+
+def test_passages_that_a_document_has_twice(spark):
+    run = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    p, q, alone = run("p", 60), run("q", 60), run("r", 60)
+    rows = [(1, f"{run('a', 30)} {p}"), (2, f"{p} {run('b', 40)} {p}"), (3, f"{q} {run('c', 70)} {q}"), (4, f"{run('d', 20)} {q}"), (5, f"{alone} {run('e', 30)} {alone}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["start_word"], r["n_words"], r["cluster"], r["removed"]) for r in paragraph_dedup.repeated_passages(docs).collect())
+    assert got == [(1, 30, 60, 1, False), (2, 0, 60, 1, True), (2, 100, 60, 1, True), (3, 0, 60, 3, False), (3, 130, 60, 3, True), (4, 20, 60, 3, True)]

@@ -1,4 +1,4 @@
-"""Table maintenance (K3 to K19) as joins that give the table's next state; write it to a new place, then switch."""
+"""Table maintenance (of K3 to K19; README lists those not built) as joins that give the table's next state; write it to a new place, then switch."""
 
 from __future__ import annotations
 

@@ -81,16 +81,22 @@ def context(places: DataFrame, fires: DataFrame, soil: DataFrame) -> DataFrame:
     return places.select("id").join(f, "id", "left").join(s, "id", "left").select("id", F.coalesce("fire", F.lit(0.0)).alias("fire"), F.coalesce("fires", F.lit(0)).alias("fires"), F.coalesce("carbon", F.lit(0.5)).alias("carbon"))
 
 
-@query("d39_location_context", "watched_locations", "drought_areas", "strategy_requests", "water_gauges")
-def location_context(places: DataFrame, areas: DataFrame, requests: DataFrame, gauges: DataFrame) -> DataFrame:
-    """A record for every location; missing parts are null."""
+@query("d39_location_context", "watched_locations", "drought_areas", "strategy_requests", "water_gauges", "weather_days", "soil_points")
+def location_context(places: DataFrame, areas: DataFrame, requests: DataFrame, gauges: DataFrame, days: DataFrame, soil: DataFrame) -> DataFrame:
+    """A record for every location; missing parts are null.
+
+    Stations have no place here, so a location reads station id modulo 20: the humidity and wind of its latest day.
+    """
     at = places.select("id", "lat", "lon", "radius_km")
     dry = spatial.box_join(at, areas.select("dm", "west", "south", "east", "north"), cell=2.0).groupBy("id").agg(F.max("dm").alias("dm"))
     zones = spatial.within_join(at, requests.where("status = 'open'").select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "vote_count"), F.col("radius_km").cast("double"), right_at=("r_lat", "r_lon")).groupBy("id").agg(F.count("*").alias("requests"), F.max("vote_count").alias("top_votes"))
     near = spatial.nearest_planar(at, gauges.select("site_no", "percentile", "condition", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon")), "id", "site_no", 2.0, right_at=("g_lat", "g_lon")).select("id", "site_no", models.gauge_stress(F.col("percentile"), F.col("condition")).alias("gauge_stress"))
-    risk = models.fire_risk(F.lit("shrubland"), F.lit(10.0), F.lit(180.0), F.lit(30.0), F.lit(5.0))
-    joined = at.join(dry, "id", "left").join(zones, "id", "left").join(near, "id", "left")
-    return joined.select("id", risk.alias("fire_risk"), models.drought_label(F.col("dm")).alias("drought"), models.drought_stress(F.col("dm")).alias("drought_stress"), "site_no", "gauge_stress", "requests", "top_votes", models.data_confidence(F.col("gauge_stress").isNotNull(), F.col("dm").isNotNull()).alias("confidence"))
+    latest = days.groupBy("station_id").agg(F.max_by(F.struct("rh", "wind_kmh"), "day").alias("w"), F.max("day").alias("weather_day"))
+    weather = at.select("id", (F.col("id") % 20).alias("station_id")).join(latest, "station_id").select("id", "w.rh", "w.wind_kmh", "weather_day")
+    ground = spatial.nearest_planar(at, soil.select(F.col("id").alias("soil_id"), "ph", "organic_carbon", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")), "id", "soil_id", 0.5, right_at=("s_lat", "s_lon")).select("id", "soil_id", "ph", "organic_carbon")
+    risk = F.when(F.col("rh").isNotNull(), models.fire_risk(F.lit("shrubland"), F.lit(10.0), F.lit(180.0), F.col("rh"), F.col("wind_kmh") / 3.6))
+    joined = at.join(dry, "id", "left").join(zones, "id", "left").join(near, "id", "left").join(weather, "id", "left").join(ground, "id", "left")
+    return joined.select("id", risk.alias("fire_risk"), models.drought_label(F.col("dm")).alias("drought"), models.drought_stress(F.col("dm")).alias("drought_stress"), "site_no", "gauge_stress", "requests", "top_votes", models.data_confidence(F.col("gauge_stress").isNotNull(), F.col("dm").isNotNull()).alias("confidence"), "weather_day", "soil_id", "ph", "organic_carbon")
 
 
 @query("x1_chunks", "documents", sql="""

@@ -1,4 +1,4 @@
-"""Readers of landed feed files (S1 to S23). Each reads with a fixed schema and gives one row per observation or feature."""
+"""Readers of landed feed files (of S1 to S23; README lists those not built). Each reads with a fixed schema and gives one row per observation or feature."""
 
 from __future__ import annotations
 

@@ -38,3 +38,27 @@ def test_entry_and_registry(spark):
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES)))
 def test_other_queries_run(spark, sf_dir, name):
     assert plans.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_location_context_by_brute_force(spark, sf_dir):
+    import math
+
+    from terrafold.functions import models
+    from terrafold.plans.views import view
+
+    places, days, soil = (view(spark, sf_dir, t).collect() for t in ("watched_locations", "weather_days", "soil_points"))
+    got = {r["id"]: r for r in plans.QUERIES["d39_location_context"](spark, sf_dir).collect()}
+    assert set(got) == {p["id"] for p in places}
+    latest = {}
+    for d in sorted(days, key=lambda d: d["day"]):
+        latest[d["station_id"]] = d
+    for p in places:
+        d, r = latest.get(p["id"] % 20), got[p["id"]]
+        near = min(((math.hypot(p["lat"] - s["lat"], p["lon"] - s["lon"]), s["id"]) for s in soil), default=(9, None))
+        assert r["soil_id"] == (near[1] if near[0] <= 0.5 else None)
+        if d is None:
+            assert r["fire_risk"] is None
+            continue
+        raw = models.FUEL_WEIGHTS["shrubland"] * 30 + 10 / 45 * 20 + 10 + max(0, 100 - d["rh"]) * 0.25 + min(100, d["wind_kmh"] / 3.6 / 30 * 100) * 0.15
+        assert abs(r["fire_risk"] - min(100, raw)) <= 0.51 and r["weather_day"] == d["day"]
+    assert len({r["fire_risk"] for r in got.values()}) > 1

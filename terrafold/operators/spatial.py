@@ -143,15 +143,30 @@ def hull_of(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return chain(pts) + chain(pts[::-1])
 
 
+def hull_corners(points: DataFrame, *keys: str, cell: float = 0.01, salts: int = 16) -> DataFrame:
+    """``keys``, ``lat``, ``lon``: corners of partial hulls, which hold all corners of each group's hull.
+
+    Every latitude keeps its westmost and eastmost points; a row of fine cells is dealt over ``salts`` parts, and each
+    part keeps the corners of its own hull.
+    """
+    ends = points.groupBy(*keys, F.floor(F.col("lat") / cell).alias("_band"), "lat").agg(F.min("lon").alias("w"), F.max("lon").alias("e"))
+    few = ends.select(*keys, "_band", F.pmod(F.xxhash64("lat"), F.lit(salts)).alias("_salt"), "lat", F.explode(F.array_distinct(F.array("w", "e"))).alias("lon"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema.fields)
+
+    def part(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        h = hull_of(list(zip(pdf["lon"].tolist(), pdf["lat"].tolist(), strict=True)))
+        return pd.DataFrame([[*key[:-2], y, x] for x, y in h], columns=[*keys, "lat", "lon"])
+
+    return few.groupBy(*keys, "_band", "_salt").applyInPandas(part, f"{kinds}, lat double, lon double")
+
+
 def convex_hulls(points: DataFrame, *keys: str, cell: float = 0.01) -> DataFrame:
     """G9 per group: ``kind`` (Point, LineString or Polygon) and ``ring`` (closed for a polygon).
 
-    First each row of fine cells keeps its westmost and eastmost points, which hold all corners of the hull; so a
-    group's task gets two points for each row of cells, however many points the group has.
+    Partial hulls are made first (``hull_corners``), so a group's task gets their corners, however many points and
+    distinct latitudes the group has.
     """
-    band = F.floor(F.col("lat") / cell)
-    ends = points.groupBy(*keys, band.alias("_band"), "lat").agg(F.min("lon").alias("w"), F.max("lon").alias("e"))
-    few = ends.select(*keys, "lat", F.explode(F.array_distinct(F.array("w", "e"))).alias("lon"))
+    few = hull_corners(points, *keys, cell=cell)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema.fields)
 
     def hull(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -159,3 +159,14 @@ def test_quota_counts_allowed_requests_only(spark):
     df = spark.createDataFrame(rows, "asset_id string, time string, id long").withColumn("time", F.to_timestamp("time"))
     got = {r["id"]: r["allowed"] for r in maintenance.allowed_requests(df, limit=20).collect()}
     assert sum(got[m] for m in range(0, 60, 2)) == 20 and not got[58] and got[99]
+
+
+def test_hulls_of_many_distinct_latitudes(spark):
+    import random
+
+    random.seed(3)
+    points = [(random.uniform(0, 0.02), random.uniform(0, 0.02)) for _ in range(4000)]
+    df = spark.createDataFrame([("a", y, x) for x, y in points], "k string, lat double, lon double")
+    assert spatial.hull_corners(df, "k").count() < 1000
+    ring = spatial.convex_hulls(df, "k").first()["ring"]
+    assert {(p["lon"], p["lat"]) for p in ring} == set(spatial.hull_of(points))

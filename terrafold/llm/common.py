@@ -96,6 +96,14 @@ def owner(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
 
+def integer_ids(df: DataFrame, name: str) -> Column:
+    """The column as long; ids of another kind are an error, since casts would make nulls or clashes of them."""
+    kind = df.select(name).schema[0].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{name} must be an integer column, not {kind}; number the documents first")
+    return F.col(name).cast("long")
+
+
 def fold_crc(doc_id: Column, modulus: int) -> Column:
     """crc32 of doc_id as text, modulo ``modulus``; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % modulus

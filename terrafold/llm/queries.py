@@ -36,7 +36,7 @@ def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> line_crf.LineModel:
     """The line model that op4 and the pipeline use, learned from labels of the rows that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(fold_crc(F.col("doc_id"), 5) != 0)
-    some = labels.where("quality in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(12_000)  # so few rows can be broadcast
+    some = line_crf.sample_labels(labels)  # so few rows can be broadcast
     return line_crf.fit(docs.join(F.broadcast(some), "doc_id"))
 
 

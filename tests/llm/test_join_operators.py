@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from terrafold.llm import decontam, jaccard_join, line_dedup, paragraph_dedup
 from terrafold.llm import queries as q
@@ -147,6 +148,20 @@ def test_passages_by_brute_force(spark, sf_dir):
     want = {d for x in holders.values() if len(x) > 1 for d in x}
     got = paragraph_dedup.repeated_passages(docs).collect()
     assert want <= {r["doc_id"] for r in got}
+    text, spans = {r["doc_id"]: (r["text"] or "").translate(LOWER).split() for r in docs.collect()}, collections.defaultdict(list)
+    for r in got:
+        spans[r["doc_id"]].append((r["start_word"], r["start_word"] + r["n_words"]))
+    for w, ids in holders.items():  # every place of a repeated run is inside a passage
+        if len(ids) > 1:
+            for d in ids:
+                at = [i for i in range(len(text[d]) - 49) if tuple(text[d][i : i + 50]) == w]
+                assert all(any(a <= i and i + 50 <= b for a, b in spans[d]) for i in at)
+    cut = lambda d, a, n: {tuple(text[d][i : i + 5]) for i in range(a, a + n - 4)}
+    for r in got:  # and a passage without such a run is similar to another of its cluster
+        if r["doc_id"] not in want:
+            mine = cut(r["doc_id"], r["start_word"], r["n_words"])
+            others = [cut(x["doc_id"], x["start_word"], x["n_words"]) for x in got if x["cluster"] == r["cluster"] and x["doc_id"] != r["doc_id"]]
+            assert any(100 * len(mine & o) >= 60 * min(len(mine), len(o)) for o in others)
     by = collections.defaultdict(list)
     for r in got:
         by[r["cluster"]].append(r)
@@ -154,6 +169,61 @@ def test_passages_by_brute_force(spark, sf_dir):
     assert sum(not r["removed"] for r in got) > 0
 
 
+def random_words(rng, n):
+    return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+
+def test_passages_of_triples_insertions_and_nothing_else(spark, monkeypatch):
+    import random
+
+    rng, rows, shared, alone = random.Random(8), [], [], []
+    for k in range(60):  # 60 words in documents 2 and 3, 49 of them in document 1
+        p = random_words(rng, 60)
+        for j, part in enumerate((p[:49], p, p)):
+            rows.append((1000 + 3 * k + j, random_words(rng, rng.randrange(80)) + part + random_words(rng, 90)))
+        shared.append((1001 + 3 * k, 1002 + 3 * k))
+        alone.append(1000 + 3 * k)
+    for k in range(60):  # 120 words, two more put in: the Jaccard similarity of their shingles is 0.857
+        p = random_words(rng, 120)
+        i, j = sorted(rng.sample(range(1, 120), 2))
+        rows.append((2000 + 2 * k, random_words(rng, rng.randrange(80)) + p + random_words(rng, 60)))
+        rows.append((2001 + 2 * k, random_words(rng, rng.randrange(80)) + p[:i] + ["new"] + p[i:j] + ["extra"] + p[j:] + random_words(rng, 60)))
+        shared.append((2000 + 2 * k, 2001 + 2 * k))
+    line = random_words(rng, 30)
+    for k in range(300):  # a line of 30 words in many documents is no passage
+        rows.append((5000 + k, random_words(rng, 70) + line + random_words(rng, 70)))
+        alone.append(5000 + k)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    for sampled, chunk in ((64, 20_000), (1, 50)):  # the second deals every key with 32 rows out and compares in small chunks
+        monkeypatch.setattr(paragraph_dedup, "SAMPLED", sampled)
+        monkeypatch.setattr(paragraph_dedup, "CHUNK", chunk)
+        got = paragraph_dedup.repeated_passages(docs).collect()
+        cluster = {r["doc_id"]: r["cluster"] for r in got}
+        found = [cluster.get(a, -1) == cluster.get(b, -2) for a, b in shared]
+        assert all(found[:60]) and sum(found[60:]) >= 57
+        assert not set(alone) & set(cluster)
+        for r in got:
+            assert r["n_words"] <= 130 and r["removed"] == (r["cluster"] != r["doc_id"])
+
+
+def test_passages_of_a_frequent_key(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    p = random_words(rng, 70)
+    rows = [(k, " ".join(random_words(rng, rng.randrange(90)) + p + random_words(rng, 40))) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(paragraph_dedup, "SAMPLED", 1)
+    assert len(paragraph_dedup.frequent_keys(docs.withColumn("t", F.xxhash64("text")), 50, 2)) > 0
+    got = {r["doc_id"]: (r["n_words"], r["cluster"]) for r in paragraph_dedup.repeated_passages(docs).collect()}
+    assert len(got) == 500 and {c for _, c in got.values()} == {0} and {n for n, _ in got.values()} <= {70, 71, 72}
+
+
+def test_passages_need_integer_ids(spark):
+    with pytest.raises(TypeError):
+        paragraph_dedup.repeated_passages(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_passages_odd_input(spark):
     passage = " ".join(f"p{k}" for k in range(60))
     far = " ".join(f"q{k}" for k in range(60))

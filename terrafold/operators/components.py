@@ -11,15 +11,16 @@ from terrafold.operators.storage import materialize
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node``, ``label`` (the least node of its component) of every node of ``edges`` (columns ``a``, ``b``, no nulls).
 
-    Every round is two groupings by node; the least neighbour is found by a partial aggregate and joined back, so a
-    star of any size spreads over tasks. An empty table gives an empty table.
+    Every round is two groupings by node. The least neighbour is found by a partial aggregate, written, and joined back
+    by a sort-merge join, whose large partitions Spark splits, so a star of any size spreads over tasks. An empty table
+    gives an empty table.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     last = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.where("v > u").hint("merge").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())

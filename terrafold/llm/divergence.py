@@ -114,8 +114,8 @@ class References:
     common: np.ndarray
 
 
-def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", common_words: int = 64, max_languages: int = 64) -> References:
-    """References from every document of a known language; the result is bounded by max_languages * common_words words."""
+def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", common_words: int = 64) -> References:
+    """References from every document of a known language; the result has at most ``common_words`` words of each language, however many languages there are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in pieces(batches, "text"):
@@ -142,8 +142,6 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", common_wor
     kept = materialize(ranked.where(f"rn <= {limit}").select("lang", "kind", "word", "n").unionByName(total.select("lang", F.lit("t").alias("kind"), F.lit("").alias("word"), "n")))
     found = kept.collect()
     names = tuple(sorted({r["lang"] for r in found}))
-    if len(names) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
     vocabulary = tuple(sorted({r["word"] for r in found if r["kind"] == "w"}))
     at, place = {x: k for k, x in enumerate(names)}, {x: k for k, x in enumerate(vocabulary)}
     characters, common = np.zeros((len(names), len(CLASSES))), np.zeros((len(names), len(vocabulary) + 1))
@@ -200,8 +198,9 @@ def judge(
             repeats = repeated_words(offsets, flat)
             codes = pc.fill_null(pc.index_in(flat, vocabulary), width - 1).to_numpy(zero_copy_only=False).astype(np.int64)
             nearest, far_c, far_w = np.zeros(len(n), np.int64), np.zeros(len(n)), np.zeros(len(n))
-            for lo in range(0, len(n), 512):  # bounds the dense histograms
-                hi = min(lo + 512, len(n))
+            step = max(1, min(512, (1 << 22) // width))  # bounds the dense histograms
+            for lo in range(0, len(n), step):
+                hi = min(lo + step, len(n))
                 hist = np.bincount(np.repeat(np.arange(hi - lo), n[lo:hi]) * width + codes[offsets[lo] : offsets[hi]], minlength=(hi - lo) * width).reshape(hi - lo, width)
                 if not references.languages:
                     continue

@@ -2,8 +2,8 @@
 
 The model emits classes: the most frequent words are classes of their own, other words fall into classes by their
 ending, and the end of a text is a class. Within an ending class a word has probability
-(c + 1) / (N_class + V_class + 1), c being its training count. Each Baum-Welch pass reads every training document;
-a task sums its expected counts and Spark adds them up by class. The likelihood of a text is exact, by the scaled
+(c + 1) / (N_class + V_class + 1), c being its training count. Each round of Baum-Welch reads every training
+document; a task sums its expected counts and Spark adds them up by class. The likelihood of a text is exact, by the scaled
 forward recursion over all of its words.
 
 Word counts of the corpus grow with it and are never broadcast whole: the ``head`` most frequent words are (bounded
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import head_rows, materialize, owner, pieces, texts, words
+from terrafold.llm.common import head_rows, materialize, owner, pieces, shared_dir, texts, words
 
 ENDINGS = 64
 #: Words kept in tasks are no longer than this many bytes.
@@ -185,56 +185,65 @@ def updated(lex: Lexicon, start: np.ndarray, trans: np.ndarray, emit: np.ndarray
     return Hmm((start + 1) / (start + 1).sum(), (trans + 1) / (trans + 1).sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def class_lists(train: DataFrame, lexicon_) -> DataFrame:
-    """The classes of every training text, packed as little-endian 32-bit numbers, so that the passes need not cut texts again."""
+def class_lists(train: DataFrame, lexicon_, slices: int) -> DataFrame:
+    """The classes of every training text, packed as little-endian 32-bit numbers, so that the passes need not cut texts again; written by ``slice``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in pieces(batches):
             offsets, obs, *_ = observed(texts(table), lexicon_.value)
             lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), table.num_rows, [None, pa.py_buffer(offsets * 4), pa.py_buffer(obs.astype("<i4"))])
-            yield from pa.table({"classes": lists.cast(pa.binary())}).to_batches(max_chunksize=2000)
+            yield from pa.table({"classes": lists.cast(pa.binary()), "slice": table.column("slice")}).to_batches(max_chunksize=2000)
 
-    return train.select("text").mapInArrow(run, "classes binary")
+    part = F.pmod(F.xxhash64("text"), F.lit(slices)).cast("int").alias("slice")
+    spark, path = train.sparkSession, shared_dir(train.sparkSession)
+    train.select("text", part).mapInArrow(run, "classes binary, slice int").write.partitionBy("slice").parquet(path)
+    return spark.read.schema("classes binary, slice int").parquet(path)
 
 
-def baum_welch(train: DataFrame, lex: Lexicon, *, states: int = 10, passes: int = 3, warm_docs: int = 500, warm_chars: int = 20_000, warm_steps: int = 12) -> Hmm:
-    """``passes`` Baum-Welch steps over all of ``train``, from a start fitted to ``warm_docs`` texts of at most ``warm_chars`` characters."""
+def baum_welch(train: DataFrame, lex: Lexicon, *, states: int = 10, slices: int = 8, passes: int = 2, power: float = 0.6) -> Hmm:
+    """Baum-Welch over all of ``train``, every step in tasks.
+
+    A first round takes the corpus in ``slices`` by the hash of the text, one for each step; the counts so far fade by
+    (step + 2) ** -power, so all slices shape the start. Then come ``passes`` steps over the whole corpus at once.
+    """
     model = Hmm.first(lex, states)
-    tables = lambda: (np.zeros(states), np.zeros((states, states)), np.zeros((lex.classes, states)))
-    some = train.where(F.length("text") <= warm_chars).orderBy(F.xxhash64("text"), "text").limit(warm_docs).toArrow()
-    if some.num_rows:
-        offsets, obs, *_ = observed(texts(some), lex)
-        for _ in range(warm_steps):
-            sums = tables()
-            expected(model, offsets, obs, *sums)
-            model = updated(lex, *sums)
     columns = [f"s{k}" for k in range(states)]
     schema = "kind int, " + ", ".join(f"{c} double" for c in columns)
     lexicon_ = train.sparkSession.sparkContext.broadcast(lex)  # bounded by head * HEAD_BYTES
-    encoded = materialize(class_lists(train, lexicon_))
-    for _ in range(passes):
+    encoded = class_lists(train, lexicon_, slices)
 
-        def run(batches: Iterator[pa.RecordBatch], model: Hmm = model) -> Iterator[pa.RecordBatch]:
-            lex, (start, trans, emit) = lexicon_.value, tables()
+    def summed(rows: DataFrame, model: Hmm) -> list[np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lex = lexicon_.value
+            start, trans, emit = np.zeros(states), np.zeros((states, states)), np.zeros((lex.classes, states))
             for table in pieces(batches, "classes"):
-                rows = table.column("classes").combine_chunks().cast(pa.large_binary())
-                lengths = pc.binary_length(rows).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+                packed = table.column("classes").combine_chunks().cast(pa.large_binary())
+                lengths = pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64) // 4
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-                first = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset] // 4
-                obs = np.frombuffer(rows.buffers()[2], "<i4")[first : first + offsets[-1]]
+                first = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset] // 4
+                obs = np.frombuffer(packed.buffers()[2], "<i4")[first : first + offsets[-1]]
                 expected(model, offsets, obs, start, trans, emit)
             some = np.flatnonzero(emit.sum(axis=1))
-            rows = np.concatenate([start[None], trans, emit[some]])
+            table = np.concatenate([start[None], trans, emit[some]])
             kinds = np.concatenate([[-1], -2 - np.arange(states), some]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.array(rows[:, k]) for k in range(states))], names=["kind", *columns])
-
-        summed = encoded.mapInArrow(run, schema).groupBy("kind").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
-        kinds, rows = summed.column("kind").to_numpy(), np.stack([summed.column(c).to_numpy() for c in columns], axis=1)
-        start, trans, emit = tables()
-        start += rows[kinds == -1].sum(axis=0)
-        trans[-2 - kinds[kinds < -1]] = rows[kinds < -1]
-        emit[kinds[kinds >= 0]] = rows[kinds >= 0]
-        model = updated(lex, start, trans, emit)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.array(table[:, k]) for k in range(states))], names=["kind", *columns])
+
+        found = rows.select("classes").mapInArrow(run, schema).groupBy("kind").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+        kinds, table = found.column("kind").to_numpy(), np.stack([found.column(c).to_numpy() for c in columns], axis=1)
+        start, trans, emit = np.zeros(states), np.zeros((states, states)), np.zeros((lex.classes, states))
+        start += table[kinds == -1].sum(axis=0)
+        trans[-2 - kinds[kinds < -1]] = table[kinds < -1]
+        emit[kinds[kinds >= 0]] = table[kinds >= 0]
+        return [start, trans, emit]
+
+    held: list[np.ndarray] | None = None
+    for k in range(slices):
+        new = summed(encoded.where(F.col("slice") == k), model)
+        share = (k + 2) ** -power
+        held = new if held is None else [(1 - share) * x + share * y for x, y in zip(held, new, strict=True)]
+        model = updated(lex, *(slices * x for x in held))
+    for _ in range(passes):
+        model = updated(lex, *summed(encoded, model))
     return model
 
 
@@ -271,7 +280,7 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: Hmm, *, doc_i
             yield from pa.Table.from_arrays([k1, k2, distinct.take(word).cast(pa.string()), pa.array(n)], names=["k1", "k2", "word", "n"]).to_batches(max_chunksize=100_000)
 
     by_row = rows.mapInArrow(heads, f"doc_id {ids}, k1 long, k2 long, n_tokens long, head_known long, head_logs double, hmm double")
-    rare = rows.select("text", "k1", "k2").mapInArrow(tails, "k1 long, k2 long, word string, n long").join(counts, "word")
+    rare = rows.select("text", "k1", "k2").mapInArrow(tails, "k1 long, k2 long, word string, n long").hint("merge").join(counts, "word")  # Spark splits frequent words
     sums = rare.groupBy("k1", "k2").agg(F.sum("n").alias("tail_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("tail_logs"))
     joined = by_row.join(sums, ["k1", "k2"], "left")
     copies = F.count("*").over(W.partitionBy("k1", "k2"))  # equal rows added up in the sums

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from terrafold.llm.common import pieces, texts
 
 UNDETERMINED = "und"
+#: Longer texts are compressed in parts of so many bytes, so that all of them lie within the window of the dictionary.
+PART_BYTES = 1 << 18
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 
 
@@ -55,28 +57,34 @@ class LanguageModel:
         return made
 
 
+def spread_pieces(text: Column, chars: int, pieces: int = 8) -> Column:
+    """At most ``chars`` characters: the whole text, or equally long pieces from its start to its end."""
+    one = chars // pieces
+    n = F.length(text)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: F.substr(text, F.floor(k * (n - one) / (pieces - 1)).cast("int") + 1, F.lit(one)))
+    return F.when(n <= chars, text).otherwise(F.array_join(cut, " "))
+
+
 def fit(
     train: DataFrame, *, text: str = "text", lang: str = "lang", margin: float = 0.02,
-    sample_docs: int = 200, sample_chars: int = 1200, max_languages: int = 512,
+    sample_docs: int = 200, sample_chars: int = 1200, total_chars: int = 1 << 25,
 ) -> LanguageModel:
-    """Learn from a bounded sample: per language the ``sample_docs`` rows with the smallest text hash, ``sample_chars`` of each.
+    """Learn from a bounded sample: per language the ``sample_docs`` distinct texts with the smallest hash, ``sample_chars`` characters spread over the whole of each.
 
-    The counts by language cover all rows. More than ``max_languages`` languages is an error, so the dictionaries
-    stay below max_languages * sample_docs * sample_chars characters. ``margin``: a text is rejected when the
-    runner-up's size is not larger by this share.
+    The counts by language cover all rows, and every language gets a dictionary: with so many languages that these
+    would have more than ``total_chars`` characters together, each learns from fewer texts (4 at least). ``margin``: a
+    text is rejected when the runner-up's size is not larger by this share.
     """
-    rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text rlike '\\\\p{L}'")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages + 1).collect()
-    if len(counts) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text rlike '\\\\p{L}'").withColumn("h", F.xxhash64("text"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("count"), "lang").collect()  # a row for each language
     if not counts:
         return LanguageModel((), margin)
+    sample_docs = max(4, min(sample_docs, total_chars // (sample_chars * len(counts))))
     # A uniform hash below this bound leaves about twice the sample of each language before the exact pick.
-    shares = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * sample_docs / r["count"])))])
-    hashed = rows.withColumn("h", F.xxhash64("text"))
+    shares = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * sample_docs / max(1, r["texts"]))))])
     uniform = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = hashed.where(uniform <= F.try_element_at(shares, F.col("lang"))).select("lang", "h", F.substring("text", 1, sample_chars).alias("text"))
-    best = few.withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "text"))).where(f"rn <= {sample_docs}")
+    few = rows.where(uniform <= F.try_element_at(shares, F.col("lang"))).select("lang", "h", spread_pieces(F.col("text"), sample_chars).alias("text")).dropDuplicates(["lang", "h"])
+    best = few.withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(f"rn <= {sample_docs}")
     found: dict[str, list[bytes]] = {}
     for r in best.orderBy("lang", "rn").collect():
         found.setdefault(r["lang"], []).append(normalised(r["text"]))
@@ -103,7 +111,8 @@ def judged(text: str, compressors: list, margin: float) -> tuple[str, float, boo
     content = normalised(text)
     if not content or not compressors:
         return UNDETERMINED, 0.0, True
-    sizes = [len(c.compress(content)) for _, c in compressors]
+    parts = [content[k : k + PART_BYTES] for k in range(0, len(content), PART_BYTES)]
+    sizes = [sum(len(c.compress(x)) for x in parts) for _, c in compressors]
     best = min(range(len(sizes)), key=sizes.__getitem__)
     score = 1.0 / sum(math.exp(min(0.0, (sizes[best] - s) / 2)) for s in sizes)
     second = min((s for k, s in enumerate(sizes) if k != best), default=math.inf)

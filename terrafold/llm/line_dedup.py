@@ -8,7 +8,7 @@ that a third of the corpus holds is spread over many partitions and never buffer
 bitmap for each document that loses lines.
 
 Rules for odd input: null or empty text is one empty line; rows with a null doc_id hold no lines and keep all of
-theirs; rows of one doc_id count as one document, and each is cut by the bitmap of its own text; other columns
+theirs; doc_id must be an integer column; rows of one doc_id count as one document, and each is cut by the bitmap of its own text; other columns
 pass through ``apply_bitmaps``, those named like the added ones are replaced.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrafold.llm.common import materialize, owner, pieces, texts
+from terrafold.llm.common import integer_ids, materialize, owner, pieces, texts
 from terrafold.llm.line_crf import lines_of
 
 LINES = "h1 long, h2 long, doc_id long, text_hash long, n_lines int, pos int"
@@ -107,8 +107,8 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     A key of at least ``min_chars`` code points that ``min_docs`` documents hold stays only in the largest doc_id.
     """
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    lines = hashed_lines(rows, min_chars)
+    rows = docs.where(F.col(doc_id).isNotNull()).select(integer_ids(docs, doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    lines = materialize(hashed_lines(rows, min_chars))  # else the texts are cut once more for the bounds of the ranges
     order = lines.repartitionByRange("h1", "h2", F.desc("doc_id")).sortWithinPartitions("h1", "h2", F.desc("doc_id"), "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +117,8 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     found = materialize(order.mapInArrow(run, f"{LINES}, open boolean"))
     open_ = found.where("open").drop("open")
-    known = open_.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs)
-    late = open_.join(known, ["h1", "h2"]).where("doc_id <> keeper")
+    known = materialize(open_.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs))
+    late = open_.hint("merge").join(known, ["h1", "h2"])  # Spark splits a line that many documents hold.where("doc_id <> keeper")
     gone = found.where("not open").select("doc_id", "text_hash", "n_lines", "pos").unionByName(late.select("doc_id", "text_hash", "n_lines", "pos"))
     by_doc = gone.groupBy("doc_id", "text_hash", "n_lines").agg(F.collect_set("pos").alias("pos"))
 

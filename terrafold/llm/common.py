@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.operators.storage import materialize, shared_dir  # noqa: F401  the operators take both from here
+from terrafold.operators.storage import materialize, scratch, shared_dir  # noqa: F401  the operators take them from here
 
 #: Text bytes that a Python task works on at a time (a longer text is one piece).
 PIECE_BYTES = 8 << 20

@@ -1,10 +1,12 @@
 """N-gram Jaccard join: documents whose sets of word shingles have a similarity of at least 80 %.
 
 Equal sets are one node. Tokens (64-bit shingle hashes) have one global order: rare ones first, then by their count,
-from a bounded table of the most frequent tokens. Two similar sets share a token among the first
-``size - ceil(0.8 size) + 1`` of each, and two tokens if each prefix is one longer. So rare tokens of the longer
-prefix are indexed alone, and frequent ones in combinations of two. Sets above ``combine_to`` tokens index frequent
-tokens alone (combinations would grow with the square of the prefix), and those from 80 % of it on do both.
+from a table of the most frequent tokens. Two similar sets share a token among the first ``size - ceil(0.8 size) + 1``
+of each, and c + 1 tokens if each prefix is c longer. The rare tokens of a prefix are indexed alone. The frequent ones
+are dealt into c classes by hash, so two sets that share no rare token there share two of one class, and every pair of
+tokens within a class is indexed. c follows the length of the prefix (about CLASS tokens in a class), so the number of
+combinations is proportional to it at every size. Sets whose sizes differ by a fifth may have different c: a set is
+indexed with the c of its own size and with that of the largest set it can be similar to.
 
 Within a list of equal keys, sets are first compared with a pivot of their size class, the set that can share most
 with others (among near copies the one with the fewest edits, so one comparison links almost all). Verified links
@@ -13,7 +15,7 @@ and position bounds. So no link between components is lost. Lists of very freque
 
 Rules for odd input: null or wordless text has an empty set, links with nothing and is its own component; fewer
 words than a shingle form one shingle; rows with a null doc_id get their size, and a component only from ids of
-equal or linked documents; repeated rows are each returned; other columns are not used.
+equal or linked documents; doc_id must be an integer column; repeated rows are each returned; other columns are not used.
 """
 
 from __future__ import annotations
@@ -24,11 +26,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import hashed, head_rows, materialize, mix, owner, pieces, rolled, texts, words
+from terrafold.llm.common import hashed, head_rows, integer_ids, materialize, mix, owner, pieces, rolled, texts, words
 from terrafold.operators.components import components
 
 #: Bits of a token that its count goes by (a clash only changes the order of tokens).
@@ -39,6 +40,8 @@ LISTED_FROM, LISTED = 16, 1 << 20
 MAX_BROADCAST = 2_000_000
 #: Tokens with this count are frequent; with that count their lists are dealt out.
 FREQUENT_FROM, SPREAD_FROM = 256, 4096
+#: Frequent tokens of a prefix go into classes of about so many.
+CLASS = 5
 
 
 def shingle_sets(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,58 +80,51 @@ def overlap_needed(a, b, percent: int):
 
 
 def nodes_of(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``node`` of every row."""
+    """``doc_id``, ``n_shingles``, ``node`` and ``text_hash`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in pieces(batches):
             bounds, tokens = shingle_sets(texts(table), width)
-            yield from pa.Table.from_arrays([table.column("doc_id"), pa.array(np.diff(bounds)), pa.array(node_ids(bounds, tokens))], names=["doc_id", "n_shingles", "node"]).to_batches()
+            yield from pa.Table.from_arrays([table.column("doc_id"), pa.array(np.diff(bounds)), pa.array(node_ids(bounds, tokens)), table.column("text_hash")], names=["doc_id", "n_shingles", "node", "text_hash"]).to_batches()
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, text_hash long")
 
 
 def token_counts(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Prints and counts of the most frequent tokens (at most ``LISTED``), sorted by print.
 
-    Every token of every document counts. A task sends its prints packed as differences, by ranges of prints.
+    Every token of every document counts; a task sends each print of a piece once, with its count.
     """
-    spark = docs.sparkSession
-    bits = max(8, int(np.ceil(np.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in pieces(batches):
             bounds, tokens = shingle_sets(texts(table), width)
             _, first = np.unique(node_ids(bounds, tokens), return_index=True)  # equal sets of a batch count once
             one = np.zeros(len(bounds) - 1, bool)
             one[first] = True
-            prints = np.sort(tokens[np.repeat(one, np.diff(bounds))] >> np.uint64(64 - PRINT_BITS)).astype(np.int64)
-            edges = np.searchsorted(prints, np.arange(1 << bits) << (PRINT_BITS - bits))
-            for bucket, part in enumerate(np.split(prints, edges[1:])):
-                if len(part):
-                    packed = squeeze.compress(np.diff(part, prepend=bucket << (PRINT_BITS - bits)).astype("<u4").tobytes())
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "prints": pa.array([packed], pa.binary())})
-
-    def count(table: pa.Table) -> pa.Table:
-        base, loose = int(table.column("bucket")[0].as_py()) << (PRINT_BITS - bits), zstandard.ZstdDecompressor()
-        prints = np.concatenate([np.cumsum(np.frombuffer(loose.decompress(x), "<u4").astype(np.int64)) for x in table.column("prints").to_pylist()]) + base
-        prints.sort()
-        starts = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
-        n = np.diff(np.append(starts, len(prints)))
-        often = n >= LISTED_FROM
-        return pa.table({"print": pa.array(prints[starts[often]]), "n": pa.array(n[often])})
-
-    counts = docs.mapInArrow(pack, "bucket int, prints binary").groupBy("bucket").applyInArrow(count, "print long, n long")
+            prints, n = np.unique(tokens[np.repeat(one, np.diff(bounds))] >> np.uint64(64 - PRINT_BITS), return_counts=True)
+            yield from pa.Table.from_arrays([pa.array(prints.astype(np.int64)), pa.array(n.astype(np.int32))], names=["print", "n"]).to_batches(max_chunksize=200_000)
+
+    counts = docs.mapInArrow(count, "print long, n int").groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= LISTED_FROM)
     top = head_rows(materialize(counts), "n", LISTED).toArrow()
     prints, n = (top.column(k).to_numpy() for k in ("print", "n"))
     order = np.argsort(prints)
     return prints[order], n[order]
 
 
+def class_counts_of(size: int, percent: int) -> set[int]:
+    """How many classes the frequent tokens of a set go into: for its own size, and for the largest set that is similar to it.
+
+    Sizes are rounded down to powers of two, so two similar sets always have one number in common.
+    """
+    prefix = lambda n: n - (percent * n + 99) // 100 + 1
+    return {max(1, prefix(1 << (n.bit_length() - 1)) // CLASS) for n in (size, 100 * size // percent)}
+
+
 ENTRIES = "key long, node long, size int, reach int, spread boolean"
 
 
-def index_entries(docs: DataFrame, prints: np.ndarray, counts: np.ndarray, width: int, percent: int, combine_to: int) -> DataFrame:
+def index_entries(docs: DataFrame, prints: np.ndarray, counts: np.ndarray, width: int, percent: int) -> DataFrame:
     """The index: keys of each set's prefix. ``reach``: the most tokens that a pair can share if this key is its first."""
     shared = docs.sparkSession.sparkContext.broadcast((prints, counts))  # at most LISTED entries
 
@@ -142,42 +138,50 @@ def index_entries(docs: DataFrame, prints: np.ndarray, counts: np.ndarray, width
                 own = (tokens >> np.uint64(64 - PRINT_BITS)).astype(np.int64)
                 at = np.minimum(np.searchsorted(prints, own), len(prints) - 1)
                 n = np.where(prints[at] == own, counts[at], 0)
-            keys, places, reaches, spreads, seen = [], [], [], [], set()
+            out: list[tuple[np.ndarray, ...]] = []
+            seen: set[int] = set()
             for k in range(len(nodes)):
                 size = int(sizes[k])
                 if size < 2 or int(nodes[k]) in seen:  # a set of one token is similar to equal sets only
                     continue
                 seen.add(int(nodes[k]))
-                prefix = size - (percent * size + 99) // 100 + 1
                 t, c = tokens[bounds[k] : bounds[k + 1]], n[bounds[k] : bounds[k + 1]]
-                order = np.argsort(c, kind="stable")[: prefix + 1]
-                t, c = t[order], c[order]
-                often = c >= FREQUENT_FROM
-                combine, alone = size <= combine_to, 100 * size >= percent * combine_to
-                single = np.arange(len(t)) < prefix
-                single = np.where(often, single & alone, single | combine)
-                at = np.flatnonzero(single)
-                keys.append(t[at])
-                reaches.append(size - at)
-                spreads.append(c[at] >= SPREAD_FROM)
-                places.append(np.full(len(at), k))
-                if combine and (m := int(often.sum())) > 1:
-                    i, j = np.triu_indices(m, 1)
-                    base = np.flatnonzero(often)
-                    keys.append(mix(t[base[i]] * np.uint64(0x9E3779B97F4A7C15) + mix(t[base[j]])))
-                    reaches.append(size - base[j] + 1)
-                    spreads.append((c[base[i]] >= SPREAD_FROM) & (c[base[j]] >= SPREAD_FROM))
-                    places.append(np.full(len(i), k))
-            if keys:
-                at = np.concatenate(places)
+                for entry in prefix_keys(t, c, size - (percent * size + 99) // 100 + 1, class_counts_of(size, percent)):
+                    out.append((*entry, np.full(len(entry[0]), k)))
+            if out:
+                keys, reaches, spreads, at = (np.concatenate([x[j] for x in out]) for j in range(4))
                 yield from pa.Table.from_arrays(
-                    [pa.array(np.concatenate(keys).astype(np.int64)), pa.array(nodes[at]), pa.array(sizes[at].astype(np.int32)), pa.array(np.concatenate(reaches).astype(np.int32)), pa.array(np.concatenate(spreads))],
+                    [pa.array(keys.astype(np.int64)), pa.array(nodes[at]), pa.array(sizes[at].astype(np.int32)), pa.array(reaches.astype(np.int32)), pa.array(spreads)],
                     names=[x.split()[0] for x in ENTRIES.split(", ")],
                 ).to_batches(max_chunksize=100_000)
 
     return docs.mapInArrow(run, ENTRIES)
 
 
+def prefix_keys(tokens: np.ndarray, counts: np.ndarray, prefix: int, class_counts: set[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys of one set with their reach, and whether a key is very frequent."""
+    size = len(tokens)
+    order = np.argsort(counts, kind="stable")[: prefix + max(class_counts)]
+    t, c = tokens[order], counts[order]
+    rare = int(np.searchsorted(c, FREQUENT_FROM))
+    if rare:
+        yield t[:rare], size - np.arange(rare), c[:rare] >= SPREAD_FROM
+    for classes in class_counts:
+        f, n = t[rare : prefix + classes], c[rare : prefix + classes]
+        if len(f) < 2:
+            continue
+        kind = (mix(f + np.uint64(classes)) % np.uint64(classes)).astype(np.int64)
+        by = np.argsort(kind, kind="stable")
+        members = np.bincount(kind, minlength=classes)
+        begin = np.cumsum(members) - members
+        place = np.arange(len(f)) - begin[kind[by]]  # of each token in its class
+        ends = np.repeat(np.arange(len(f)), place)  # the second token of each pair
+        starts = np.arange(len(ends)) - np.repeat(np.cumsum(place) - place, place) + begin[kind[by]][ends]
+        i, j = by[starts], by[ends]
+        key = mix(f[i] * np.uint64(0x9E3779B97F4A7C15) + mix(f[j] + np.uint64(classes)))
+        yield key, size - rare - (place[ends] - 1), (n[i] >= SPREAD_FROM) & (n[j] >= SPREAD_FROM)
+
+
 FOUND = "a long, b long, key long, node long, size int, reach int, spread boolean"
 
 
@@ -246,8 +250,8 @@ def candidates(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     near = materialize(dealt.mapInArrow(run, FOUND))
     hot = near.where("spread").select("key", "node", "size", "reach").withColumn("level", F.floor(F.log("size") / float(np.log(100 / percent))))
-    pivots = hot.groupBy("key", "level").agg(F.min_by(F.struct("size", "node", "reach"), F.struct(-F.col("reach"), "node")).alias("p"))
-    met = hot.join(pivots, ["key", "level"]).where(passes("size", "reach", "p.size", "p.reach", percent) & (F.col("node") != F.col("p.node")))
+    pivots = materialize(hot.groupBy("key", "level").agg(F.min_by(F.struct("size", "node", "reach"), F.struct(-F.col("reach"), "node")).alias("p")))
+    met = hot.hint("merge").join(pivots, ["key", "level"]).where(passes("size", "reach", "p.size", "p.reach", percent) & (F.col("node") != F.col("p.node")))
     below = pivots.select("key", (F.col("level") + 1).alias("level"), F.col("p").alias("q"))
     chained = pivots.join(below, ["key", "level"]).where(passes("p.size", "p.reach", "q.size", "q.reach", percent) & (F.col("p.node") != F.col("q.node")))
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -263,10 +267,10 @@ def passes(size_a: str, reach_a: str, size_b: str, reach_b: str, percent: int):
 
 def open_lists(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """The entries of lists whose sets lie in two components or more, with ``label`` and the list's largest component (``main``)."""
-    named = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = entries.hint("merge").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     counts = named.groupBy("key", "label").count()
     main = counts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    return materialize(named.join(main.select("key", "main"), "key"))
+    return materialize(named.hint("merge").join(materialize(main.select("key", "main")), "key"))
 
 
 def across(lists: DataFrame, percent: int) -> DataFrame:
@@ -274,7 +278,7 @@ def across(lists: DataFrame, percent: int) -> DataFrame:
 
     The list's largest component meets only the others, so a list of mostly linked sets costs its exceptions times its length.
     """
-    x, y = lists.where("label <> main").alias("x"), lists.alias("y")
+    x, y = lists.where("label <> main").hint("merge").alias("x"), lists.alias("y")  # Spark splits long lists
     differ = (F.col("x.key") == F.col("y.key")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.label") < F.col("y.label")))
     met = x.join(y, differ & passes("x.size", "x.reach", "y.size", "y.reach", percent))
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
@@ -315,25 +319,27 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+    left = pairs.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
+    both = left.hint("merge").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
     return materialize(both.mapInArrow(compare, "a long, b long"))
 
 
-def linked(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, combine_to: int = 160) -> DataFrame:
-    """Per row ``doc_id``, ``n_shingles`` and ``component_id``, the smallest doc_id that links reach from it."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def linked(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """Per row ``doc_id``, ``n_shingles``, ``component_id`` (the smallest doc_id that links reach from it) and ``text_hash``."""
+    docs = docs.select(integer_ids(docs, doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     thin = materialize(nodes_of(docs, width))
+    docs = docs.drop("text_hash")
     reps = materialize(thin.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
     prints, counts = token_counts(docs, width)
-    pairs, lists = candidates(index_entries(docs, prints, counts, width, percent, combine_to), percent)
+    pairs, lists = candidates(index_entries(docs, prints, counts, width, percent), percent)
     checked, entries = materialize(pairs.distinct()), lists.distinct()
     sets = sets_of(sides(checked), docs, reps, width)
     links = verified(checked, sets, percent)
     late = materialize(across(open_lists(entries, components(links)), percent).join(checked, ["a", "b"], "left_anti"))
     more = sets_of(sides(late).join(sets, "node", "left_anti"), docs, reps, width)
-    labels = materialize(components(links.unionByName(verified(late, sets.unionByName(more), percent))))
-    least = labels.join(reps, "node").groupBy("label").agg(F.min("rep").alias("component_id"))
-    to = reps.join(labels, "node", "left").join(least, "label", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    out = thin.join(to, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    labels = materialize(components(links.unionByName(verified(late, sets.unionByName(more), percent))).join(reps, "node"))
+    least = materialize(labels.groupBy("label").agg(F.min("rep").alias("component_id")))
+    moved = labels.hint("merge").join(least, "label").select("node", "component_id")
+    to = materialize(reps.join(moved, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")))
+    out = thin.hint("merge").join(to, "node", "left")  # Spark splits a set that many documents have
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"), "text_hash")

@@ -118,7 +118,7 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     found = materialize(order.mapInArrow(run, f"{LINES}, open boolean"))
     open_ = found.where("open").drop("open")
     known = materialize(open_.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs))
-    late = open_.hint("merge").join(known, ["h1", "h2"])  # Spark splits a line that many documents hold.where("doc_id <> keeper")
+    late = open_.hint("merge").join(known, ["h1", "h2"]).where("doc_id <> keeper")  # Spark splits a line that many documents hold
     gone = found.where("not open").select("doc_id", "text_hash", "n_lines", "pos").unionByName(late.select("doc_id", "text_hash", "n_lines", "pos"))
     by_doc = gone.groupBy("doc_id", "text_hash", "n_lines").agg(F.collect_set("pos").alias("pos"))
 

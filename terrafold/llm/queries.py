@@ -117,7 +117,7 @@ from d left join hits on d.doc_id = hits.doc_id left join its on d.doc_id = its.
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    return jaccard_join.linked(documents(spark, sf_dir, "doc_id", "text"))
+    return jaccard_join.linked(documents(spark, sf_dir, "doc_id", "text")).drop("text_hash")
 
 
 OP7_SQL = r"""

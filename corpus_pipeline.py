@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.llm import decontam, jaccard_join, line_crf, line_dedup, spec_bpe
-from terrafold.llm.common import configure, materialize
+from terrafold.llm.common import configure, materialize, scratch
 from terrafold.llm.queries import quality_model, vocabulary_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,10 +35,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies, the smallest doc_id; rows with a null doc_id stay."""
+    """Keep one document of each group of near copies, that with the smallest doc_id and then text hash.
+
+    Rows with a null doc_id stay. Rows of one doc_id with different texts are judged by their texts; rows that are
+    equal in id and text are one document and stay together.
+    """
     configure(spark)
-    linked = jaccard_join.linked(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(linked, "doc_id", "left_anti").select(*COLUMNS)
+    found = jaccard_join.linked(docs).where("doc_id is not null and n_shingles > 0").select("doc_id", "text_hash", "component_id").distinct()
+    found = materialize(found)
+    first = materialize(found.where("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("first")))
+    gone = found.hint("merge").join(first, "component_id", "left").where("doc_id <> component_id or text_hash <> first")
+    own = (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"])
+    return docs.join(gone, own, "left_anti").select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +72,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with scratch(spark):  # what a stage wrote on its way goes once its result is written
+            result = stage(spark, docs, sf_dir)
+            docs = materialize(result, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

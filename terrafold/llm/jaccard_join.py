@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,9 @@ MAX_BROADCAST = 2_000_000
 #: Tokens with this count are frequent; with that count their lists are dealt out.
 FREQUENT_FROM, SPREAD_FROM = 256, 4096
 #: Frequent tokens of a prefix go into classes of about so many.
-CLASS = 5
+CLASS = 16
+#: Tokens of the corpus in one range of prints.
+RANGE = 1 << 22
 
 
 def shingle_sets(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,22 +93,42 @@ def nodes_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, text_hash long")
 
 
-def token_counts(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+def token_counts(docs: DataFrame, width: int, tokens_in_all: int) -> tuple[np.ndarray, np.ndarray]:
     """Prints and counts of the most frequent tokens (at most ``LISTED``), sorted by print.
 
-    Every token of every document counts; a task sends each print of a piece once, with its count.
+    Every token of every document counts. A task sends each print of a piece once with its count, packed as differences
+    by ranges of prints; there are so many ranges that one holds about ``RANGE`` tokens of the corpus.
     """
+    spark = docs.sparkSession
+    ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), tokens_in_all // RANGE, 256)
+    bits = int(np.ceil(np.log2(ranges)))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
         for table in pieces(batches):
             bounds, tokens = shingle_sets(texts(table), width)
             _, first = np.unique(node_ids(bounds, tokens), return_index=True)  # equal sets of a batch count once
             one = np.zeros(len(bounds) - 1, bool)
             one[first] = True
             prints, n = np.unique(tokens[np.repeat(one, np.diff(bounds))] >> np.uint64(64 - PRINT_BITS), return_counts=True)
-            yield from pa.Table.from_arrays([pa.array(prints.astype(np.int64)), pa.array(n.astype(np.int32))], names=["print", "n"]).to_batches(max_chunksize=200_000)
-
-    counts = docs.mapInArrow(count, "print long, n int").groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= LISTED_FROM)
+            prints = prints.astype(np.int64)
+            edges = np.searchsorted(prints, np.arange(1 << bits) << (PRINT_BITS - bits))[1:]
+            for bucket, (part, count) in enumerate(zip(np.split(prints, edges), np.split(n, edges), strict=True)):
+                if len(part):
+                    packed = [squeeze.compress(x.astype("<u4").tobytes()) for x in (np.diff(part, prepend=bucket << (PRINT_BITS - bits)), count)]
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=["bucket", "prints", "counts"])
+
+    def count(table: pa.Table) -> pa.Table:
+        base, loose = int(table.column("bucket")[0].as_py()) << (PRINT_BITS - bits), zstandard.ZstdDecompressor()
+        unpack = lambda name: [np.frombuffer(loose.decompress(x), "<u4").astype(np.int64) for x in table.column(name).to_pylist()]
+        prints, n = np.concatenate([np.cumsum(x) for x in unpack("prints")]) + base, np.concatenate(unpack("counts"))
+        order = np.argsort(prints)
+        prints, n = prints[order], n[order]
+        starts = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+        prints, n = prints[starts], np.add.reduceat(n, starts)
+        return pa.table({"print": pa.array(prints[n >= LISTED_FROM]), "n": pa.array(n[n >= LISTED_FROM])})
+
+    counts = docs.mapInArrow(pack, "bucket int, prints binary, counts binary").groupBy("bucket").applyInArrow(count, "print long, n long")
     top = head_rows(materialize(counts), "n", LISTED).toArrow()
     prints, n = (top.column(k).to_numpy() for k in ("print", "n"))
     order = np.argsort(prints)
@@ -330,7 +353,7 @@ def linked(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width
     thin = materialize(nodes_of(docs, width))
     docs = docs.drop("text_hash")
     reps = materialize(thin.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
-    prints, counts = token_counts(docs, width)
+    prints, counts = token_counts(docs, width, thin.agg(F.sum("n_shingles")).first()[0] or 0)
     pairs, lists = candidates(index_entries(docs, prints, counts, width, percent), percent)
     checked, entries = materialize(pairs.distinct()), lists.distinct()
     sets = sets_of(sides(checked), docs, reps, width)

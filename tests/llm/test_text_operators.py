@@ -200,3 +200,52 @@ def test_token_store(spark, odd, empty, tmp_path):
     assert crc == {(r["doc_id"], zlib.crc32(np.array(r["ids"], "<u4").tobytes())) for r in rows}
     token_store.write(empty, f"{tmp_path}/none", vocabulary_path())
     assert token_store.read(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_quality_scores_on_held_out_labels(spark):
+    from terrafold.llm.queries import op4_line_crf
+
+    sf = "/root/testdata/sf0.01"
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(quality[r["doc_id"]], r["score"], r["predicted"]) for r in op4_line_crf(spark, sf).collect() if r["held_out"] and r["doc_id"] in quality]
+    good, bad = ([s for q, s, _ in held if q == k] for k in (1, 0))
+    assert good and bad
+    assert sum(a > b for a in good for b in bad) >= 0.95 * len(good) * len(bad)
+    assert sum(q == p for q, _, p in held) >= 0.9 * len(held)
+
+
+def test_encoding_queries_equal_the_library_on_whole_tables(spark, sf_dir):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    from terrafold.llm.queries import op9_speculative_bpe, op10_elias_fano_store
+
+    library = Tokenizer.from_file(vocabulary_path())
+    docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    ids = {d: library.encode(t, add_special_tokens=False).ids for d, t in docs}
+    packed = lambda x: np.array(x, "<u4").tobytes()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = {d: (len(x), sha(packed(x)), sha(library.decode(x, skip_special_tokens=False).encode())) for d, x in ids.items()}
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in op9_speculative_bpe(spark, sf_dir).collect()} == want
+    start, stored = 0, {}
+    for d, _ in docs:
+        stored[d] = (start, len(ids[d]) + 1, zlib.crc32(packed([*ids[d], 2])))
+        start += len(ids[d]) + 1
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in op10_elias_fano_store(spark, sf_dir).collect()} == stored
+
+
+def test_many_languages(spark):
+    rows = [(k, f"word{k} of tongue{k} " * 30, f"l{k}") for k in range(80)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert len(language_id.fit(docs, total_chars=50_000).dictionaries) == 80
+    assert len(divergence.learn(docs).languages) == 80
+    parts = "a b " * 200_000  # longer than the window of a dictionary
+    assert 0 < language_id.judged(parts, language_id.fit(docs).compressors()[:2], 0.02)[1] <= 1
+
+
+def test_dictionaries_learn_from_the_whole_text(spark):
+    head = "kopfzeile vorspann hinweis " * 60
+    rows = [(k, head + "the quick brown fox and the lazy dog were here " * 40, "en") for k in range(5)] + [(9, "der schnelle braune fuchs und der faule hund waren hier " * 40, "de")]
+    model = language_id.fit(spark.createDataFrame(rows, SCHEMA))
+    assert b"quick brown" in dict(model.dictionaries)["en"]

@@ -1,6 +1,6 @@
 """Registered queries over the logical tables."""
 
-from terrafold.plans import context, core, more, places
+from terrafold.plans import context, core, more, places, recommend
 from terrafold.plans.views import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "context", "core", "more", "places"]
+__all__ = ["ORACLES", "QUERIES", "context", "core", "more", "places", "recommend"]

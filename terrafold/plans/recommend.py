@@ -1,4 +1,4 @@
-"""Registered queries: geocoded records, species that suit a place, and their companions."""
+"""Registered queries: geocoded records, service areas, species and practices that suit a place, and catalogues."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrafold.functions.models import half_up
-from terrafold.plans.views import VIEWS, pick, query
+from terrafold.plans.core import AREA_BOX
+from terrafold.plans.views import FIRE_LAT, FIRE_LON, VIEWS, pick, query, spread
 
 VIEWS |= {
     "geocode_records": ("customer", ("c_custkey AS id", f"{pick('c_custkey', ('place', 'highway', 'building', 'amenity'))} AS osm_key", f"{pick('c_custkey', ('house', 'city', 'state', 'country', 'residential', 'town', 'primary', 'cafe', 'hamlet'))} AS osm_value",
@@ -97,3 +98,117 @@ def companions(places: DataFrame, species: DataFrame, pairs: DataFrame) -> DataF
     met = every.join(both, (F.col("species_id") == F.col("a")) & (F.col("companion_id") == F.col("b")))
     rank = F.row_number().over(W.partitionBy("id", "species_id").orderBy("position"))
     return met.select("id", "species_id", "companion_id", rank.alias("rank")).where(F.col("rank") <= COMPANIONS)
+
+
+VIEWS |= {
+    "sites": ("part", ("p_partkey AS id", "CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(100 + (CAST(p_partkey AS BIGINT) * 53) % 2400 AS DOUBLE) END AS precip", "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(p_partkey % 45 - 8 AS DOUBLE) END AS temp",
+        f"{pick('(p_partkey % 5)', ('loam', 'clay', 'sand', 'silt_loam'))} AS texture", f"CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE {pick('p_size', ('well_drained', 'poorly_drained'))} END AS drainage",
+        "CAST(p_size AS DOUBLE) AS slope", "CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE CAST(p_size % 8 AS DOUBLE) / 2 END AS organic", "CAST(50 + p_partkey % 200 AS DOUBLE) AS capacity")),
+    "practices": ("nation", ("n_nationkey AS practice_id", "CASE WHEN n_nationkey % 6 = 5 THEN NULL ELSE CAST(200 + n_nationkey * 40 AS DOUBLE) END AS min_precip", "CASE WHEN n_nationkey % 6 = 5 THEN NULL ELSE CAST(900 + n_nationkey * 60 AS DOUBLE) END AS max_precip", "CAST(n_nationkey - 5 AS DOUBLE) AS min_temp", "CAST(n_nationkey + 18 AS DOUBLE) AS max_temp",
+        f"CASE WHEN n_nationkey % 6 = 5 THEN NULL ELSE {pick('n_nationkey', ('loam,silt_loam', 'loam,clay', 'sand,loam'))} END AS soils", "CASE WHEN n_nationkey % 2 = 0 THEN 'well_drained' ELSE 'well_drained,poorly_drained' END AS drainages",
+        "CAST(15 + n_nationkey AS DOUBLE) AS max_slope", "CAST(n_nationkey % 5 AS DOUBLE) / 2 AS min_organic", f"{pick('n_nationkey', ('low', 'medium', 'high'))} AS water")),
+}
+
+# Weights of the dimensions in hundredths, rain and stored water in mm that a practice needs.
+WEIGHTS = {"precip": 25, "temp": 20, "soil": 20, "slope": 10, "organic": 10, "water": 15}
+WATER_NEED = {"low": 400.0, "medium": 700.0, "high": 1100.0}
+
+
+def trapezoid(x: Column, low: Column, high: Column) -> Column:
+    """1 within the range, falling to 0 at half of the bound's size beyond it (at 1 if the bound is 0)."""
+    width = lambda b: F.when(b == 0, 1.0).otherwise(F.abs(b) * 0.5)
+    below, above = 1.0 - (low - x) / width(low), 1.0 - (x - high) / width(high)
+    return F.when(x < low, F.greatest(F.lit(0.0), below)).when(x > high, F.greatest(F.lit(0.0), above)).otherwise(1.0)
+
+
+def fits(unknown: Column, unlimited: Column, fit: Column) -> Column:
+    """A dimension's fit: null where the place's value is missing, 1 where the practice sets no limit."""
+    return F.when(unknown, None).when(unlimited, 1.0).otherwise(fit)
+
+
+def suitability(sites: DataFrame, practices: DataFrame) -> DataFrame:
+    """Six weighted fits of every practice of a catalogue at every site.
+
+    A missing value of the site counts 0.5 and lowers the confidence; a limit that a practice lacks is met. Limiting are
+    fits below 0.3. The catalogue becomes one row, so the sites are neither shuffled nor paired in a join.
+    """
+    catalogue = practices.agg(F.collect_list(F.struct(*practices.columns)).alias("catalogue"))
+    rows = sites.crossJoin(F.broadcast(catalogue)).select(*sites.columns, F.inline("catalogue"))
+    c, isnull = F.col, F.isnull
+    flag = lambda test: F.when(test, 1.0).otherwise(0.0)
+    listed = lambda names, value: F.array_contains(F.split(names, ","), c(value))
+    need = F.element_at(F.create_map(*(F.lit(v) for item in WATER_NEED.items() for v in item)), c("water"))
+    fit = {
+        "precip": fits(isnull("precip"), isnull("min_precip") | isnull("max_precip"), trapezoid(c("precip"), c("min_precip"), c("max_precip"))),
+        "temp": fits(isnull("temp"), isnull("min_temp") | isnull("max_temp"), trapezoid(c("temp"), c("min_temp"), c("max_temp"))),
+        "soil": fits(isnull("texture") | isnull("drainage"), isnull("soils") | isnull("drainages"), flag(listed("soils", "texture") & listed("drainages", "drainage"))),
+        "slope": fits(isnull("slope"), isnull("max_slope"), flag(c("slope") <= c("max_slope"))),
+        "organic": fits(isnull("organic"), isnull("min_organic"), flag(c("organic") >= c("min_organic"))),
+        "water": fits(isnull("precip") | isnull("capacity"), isnull(need), F.least(F.lit(1.0), (c("precip") + c("capacity")) / need)),
+    }
+    rows = rows.select("id", "practice_id", *(f.alias(f"fit_{n}") for n, f in fit.items()))
+    total = sum((F.coalesce(f"fit_{n}", F.lit(0.5)) * float(w) for n, w in WEIGHTS.items()), F.lit(0.0)) / 100.0
+    missing = sum((F.isnull(f"fit_{n}").cast("int") for n in WEIGHTS), F.lit(0))
+    limiting = F.concat_ws(",", *(F.when(c(f"fit_{n}") < 0.3, n) for n in WEIGHTS))
+    confidence = F.when(missing == 0, "high").when(missing <= 2, "medium").otherwise("low")
+    return rows.select("id", "practice_id", half_up(total, 4).alias("score"), confidence.alias("confidence"), limiting.alias("limiting"))
+
+
+def trapezoid_sql(x: str, low: str, high: str) -> str:
+    width = lambda b: f"(case when {b} = 0 then 1.0::double else abs({b}) * 0.5::double end)"
+    return f"case when {x} is null then null when {low} is null or {high} is null then 1 when {x} < {low} then greatest(0, 1 - ({low} - {x}) / {width(low)}) when {x} > {high} then greatest(0, 1 - ({x} - {high}) / {width(high)}) else 1 end::double"
+
+
+@query("x4_practice_suitability", "sites", "practices", sql=f"""
+with d as (select id, practice_id, {trapezoid_sql('precip', 'min_precip', 'max_precip')} as precip, {trapezoid_sql('temp', 'min_temp', 'max_temp')} as temp,
+  case when texture is null or drainage is null then null when soils is null or (list_contains(string_split(soils, ','), texture) and list_contains(string_split(drainages, ','), drainage)) then 1 else 0 end::double as soil,
+  (slope <= max_slope)::int::double as slope, (organic >= min_organic)::int::double as organic, case when precip is null then null else least(1, (precip + capacity) / case water when 'low' then 400 when 'medium' then 700 else 1100 end::double) end as water from sites, practices),
+l as (select *, (precip is null)::int + (temp is null)::int + (soil is null)::int + (slope is null)::int + (organic is null)::int + (water is null)::int as missing from d)
+select id, practice_id, floor((coalesce(precip, 0.5) * 25.0::double + coalesce(temp, 0.5) * 20.0::double + coalesce(soil, 0.5) * 20.0::double + coalesce(slope, 0.5) * 10.0::double + coalesce(organic, 0.5) * 10.0::double + coalesce(water, 0.5) * 15.0::double) / 100.0::double * 10000.0::double + 0.5::double) / 10000.0::double as score,
+  case when missing = 0 then 'high' when missing <= 2 then 'medium' else 'low' end as confidence,
+  concat_ws(',', case when precip < 0.3 then 'precip' end, case when temp < 0.3 then 'temp' end, case when soil < 0.3 then 'soil' end, case when slope < 0.3 then 'slope' end, case when organic < 0.3 then 'organic' end, case when water < 0.3 then 'water' end) as limiting from l""")
+def practice_suitability(sites: DataFrame, practices: DataFrame) -> DataFrame:
+    return suitability(sites, practices)
+
+
+VIEWS |= {
+    "service_areas": ("customer", ("c_custkey AS id", "c_custkey % 10 <> 0 AS has_area", "c_custkey % 3 = 0 AS has_box", "c_custkey % 3 = 1 AS has_ring", f"{spread('c_custkey', *FIRE_LON)} AS west", f"{spread('c_custkey', *FIRE_LAT)} AS south")),
+    "solution_plants": ("part", ("p_partkey AS id", "p_partkey % 25 AS solution_id", "p_name AS name")),
+    "solution_tools": ("supplier", ("s_suppkey AS id", "s_suppkey % 25 AS solution_id", "s_name AS name")),
+}
+
+
+def areas_in_box(areas: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Areas that meet a box: by their own box if they have one, else by the mean of their ring's points, else always.
+
+    ``bbox`` is a struct of west, south, east and north, ``ring`` an array of structs of lon and lat; a null or empty ring
+    counts as none.
+    """
+    west, south, east, north = box
+    overlap = (F.col("bbox.east") >= west) & (F.col("bbox.west") <= east) & (F.col("bbox.north") >= south) & (F.col("bbox.south") <= north)
+    mean = lambda axis: F.aggregate("ring", F.lit(0.0), lambda s, p: s + p[axis]) / F.size("ring")
+    inside = mean("lon").between(west, east) & mean("lat").between(south, north)
+    return areas.where(F.when(F.col("bbox").isNotNull(), overlap).when(F.size("ring") > 0, inside).otherwise(True))
+
+
+@query("p16_service_areas", "service_areas", sql=f"""
+select id from service_areas where has_area and case
+  when has_box then west + 1 >= {AREA_BOX[0]} and west <= {AREA_BOX[2]} and south + 1 >= {AREA_BOX[1]} and south <= {AREA_BOX[3]}
+  when has_ring then (west + (west + 2) + (west + 1) + west) / 4.0::double between {AREA_BOX[0]} and {AREA_BOX[2]} and (south + south + (south + 1) + south) / 4.0::double between {AREA_BOX[1]} and {AREA_BOX[3]} else true end""")
+def service_areas(areas: DataFrame) -> DataFrame:
+    lon, lat = F.col("west"), F.col("south")
+    box = F.struct(lon.alias("west"), lat.alias("south"), (lon + 1).alias("east"), (lat + 1).alias("north"))
+    corners = ((lon, lat), (lon + 2, lat), (lon + 1, lat + 1), (lon, lat))
+    ring = F.array(*(F.struct(x.alias("lon"), y.alias("lat")) for x, y in corners))
+    shaped = areas.where("has_area").select("id", F.when(F.col("has_box"), box).alias("bbox"), F.when(F.col("has_ring"), ring).alias("ring"))
+    return areas_in_box(shaped, AREA_BOX).select("id")
+
+
+@query("d38_solution_catalogue", "solution_plants", "solution_tools", sql="""
+with a as (select solution_id, 'plant' as kind, id, name from solution_plants union all select solution_id, 'tool' as kind, id, name from solution_tools)
+select solution_id, kind, id, name, row_number() over (partition by solution_id, kind order by id)::int as position from a qualify position <= 5""")
+def solution_catalogue(plants: DataFrame, tools: DataFrame) -> DataFrame:
+    """The first five plants and tools of each solution; tasks keep five of a group before the shuffle."""
+    items = plants.withColumn("kind", F.lit("plant")).unionByName(tools.withColumn("kind", F.lit("tool")))
+    position = F.row_number().over(W.partitionBy("solution_id", "kind").orderBy("id"))
+    return items.withColumn("position", position).where(F.col("position") <= 5).select("solution_id", "kind", "id", "name", "position")

@@ -33,6 +33,24 @@ def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path`` that hold a finished write; none if it isn't there."""
+    folder, files = _folder(spark, path)
+    inside = files.listStatus(folder) if files.exists(folder) else []
+    done = lambda x: files.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))
+    return sorted(x.getPath().getName() for x in inside if x.isDirectory() and done(x))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder, files = _folder(spark, path)
+    files.delete(folder, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete what ``materialize`` writes inside; results to be read later have ``keep`` or are written elsewhere."""
@@ -41,5 +59,4 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _open.pop():
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            remove(spark, path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -153,6 +154,37 @@ def cosine_top(embeddings: DataFrame) -> DataFrame:
     return top_similar(rows.where("id % 20 = 0"), rows).select("id", "place", "other", half_up(F.col("similarity"), 4).alias("similarity"))
 
 
+def diverse(found: DataFrame, vectors: DataFrame, keep: int = 5, weight: float = 0.7) -> DataFrame:
+    """Maximal marginal relevance over each query's top rows (``id``, ``other``, ``similarity``).
+
+    Each step takes the row with the largest ``weight`` * similarity - (1 - ``weight``) * its largest cosine to a row taken
+    before; ties go to the smaller ``other``. A group is a query's top-k, so it has a bounded size. Null or zero vectors
+    are unlike everything.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("other").reset_index(drop=True)
+        v = np.array([np.asarray(x, float) for x in pdf["v"]])
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        gain, near, taken = pdf["similarity"].to_numpy(), np.zeros(len(pdf)), []
+        for _ in range(min(keep, len(pdf))):
+            score = np.round(weight * gain - (1 - weight) * near, 9)
+            score[taken] = -np.inf
+            taken.append(int(score.argmax()))
+            near = (v @ v[taken].T).max(axis=1)
+        return pdf.loc[taken, ["id", "other"]].assign(place=range(1, len(taken) + 1))
+
+    rows = found.select("id", "other", "similarity").join(vectors.where("v is not null").select(F.col("id").alias("other"), "v"), "other")
+    return rows.groupBy("id").applyInPandas(run, "id long, other long, place int")
+
+
+@query("x3_diverse_top", "embeddings")
+def diverse_top(embeddings: DataFrame) -> DataFrame:
+    """Five of the ten nearest, re-ranked; queries as in X2."""
+    rows = embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return diverse(top_similar(rows.where("id % 20 = 0"), rows), rows)
+
+
 @query("x9_week_over_week", "fire_detections", sql="""
 with d as (select date_trunc('day', detected_at)::timestamp as day, count(*) as n from fire_detections group by 1)
 select a.day, a.n, b.n as week_before, (a.n - b.n) as change from d a join d b on b.day = a.day - interval 7 days""")

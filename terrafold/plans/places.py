@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import geo, models
 from terrafold.functions.models import half_up
-from terrafold.operators import fire_series, maintenance, spatial, tracks
+from terrafold.operators import maintenance, spatial, tracks
 from terrafold.plans.core import AS_OF, AREA_BOX, ORDERS_AS_OF, since
 from terrafold.plans.views import query
 
@@ -248,17 +248,6 @@ def fire_risk(soil: DataFrame) -> DataFrame:
     return soil.select("id", risk.alias("risk"))
 
 
-@query("w10_fire_weather_series", "weather_days")
-def weather_series(days: DataFrame) -> DataFrame:
-    return fire_series.fire_weather_series(days)
-
-
-@query("d8_fire_weather_day", "weather_days")
-def weather_day(days: DataFrame) -> DataFrame:
-    fw = models.fire_weather(F.col("temp"), F.col("rh"), F.col("wind_kmh"), F.col("rain"), F.month("day"))
-    return days.select("station_id", "day", fw.alias("f")).select("station_id", "day", "f.*")
-
-
 @query("g10_simplified_tracks", "positions")
 def simplified(positions: DataFrame) -> DataFrame:
     return tracks.simplify(positions, 0.05)

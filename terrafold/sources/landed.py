@@ -1,4 +1,4 @@
-"""Readers of landed feed files (of S1 to S23; README lists those not built). Each reads with a fixed schema and gives one row per observation or feature."""
+"""Readers of landed feed files (S1 to S23). Each reads with a fixed schema and gives one row per observation or feature."""
 
 from __future__ import annotations
 
@@ -173,6 +173,38 @@ def burn_perimeters(features: DataFrame, year_from: int | None = None, year_to:
     return rows.where((year >= year_from if year_from else F.lit(True)) & (year <= year_to if year_to else F.lit(True))).withColumn("year", year)
 
 
+def watersheds(features: DataFrame, box: tuple[float, float, float, float], limit: int = 500) -> DataFrame:
+    """Basin polygons whose bounds meet the box (borders included), at most ``limit`` by id as the feed itself caps them."""
+    from terrafold.functions.geo import rings_bbox
+
+    bounded = polygons(features).withColumn("b", rings_bbox(F.col("rings")))
+    meets = (F.col("b.west") <= box[2]) & (F.col("b.east") >= box[0]) & (F.col("b.south") <= box[3]) & (F.col("b.north") >= box[1])
+    return bounded.where(meets).orderBy("id").limit(limit).drop("b")
+
+
+IMAGES = "data array<struct<id string, geometry struct<coordinates array<double>>, thumb_1024_url string, thumb_2048_url string, compass_angle double, sequence_id string, sequence string>>"
+
+
+def street_images(spark: SparkSession, path: str, *, box: tuple[float, float, float, float] | None = None, sequence: str | None = None, large: bool = False, limit: int | None = None) -> DataFrame:
+    """Images in a box (100 at most) or of a sequence (200 at most), by id; ``large`` prefers the larger thumbnail.
+
+    Missing thumbnails and sequences are empty text, a missing angle is 0; an image without coordinates is in no box.
+    """
+    raw = spark.read.schema(IMAGES).option("multiLine", True).json(path).select(F.explode("data").alias("i")).select("i.*")
+    thumbs = ("thumb_2048_url", "thumb_1024_url") if large else ("thumb_1024_url", "thumb_2048_url")
+    filled = lambda c: F.when(F.col(c) != "", F.col(c))
+    point = F.col("geometry.coordinates")
+    rows = raw.select(
+        "id", F.get(point, F.lit(0)).alias("lon"), F.get(point, F.lit(1)).alias("lat"), F.coalesce(*map(filled, thumbs), F.lit("")).alias("thumb_url"),
+        F.coalesce("compass_angle", F.lit(0.0)).alias("compass_angle"), F.coalesce("sequence_id", "sequence", F.lit("")).alias("sequence_id"),
+    )
+    if box is not None:
+        rows = rows.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
+    if sequence is not None:
+        rows = rows.where(F.col("sequence_id") == sequence)
+    return rows.orderBy("id").limit(limit or (100 if sequence is None else 200))
+
+
 def route_osm(objects: DataFrame) -> dict[str, DataFrame]:
     """Map objects (kind, id, is_closed, tags, coords) into five tables by their tags."""
     from terrafold.functions.models import osm_height

@@ -62,3 +62,21 @@ def test_location_context_by_brute_force(spark, sf_dir):
         raw = models.FUEL_WEIGHTS["shrubland"] * 30 + 10 / 45 * 20 + 10 + max(0, 100 - d["rh"]) * 0.25 + min(100, d["wind_kmh"] / 3.6 / 30 * 100) * 0.15
         assert abs(r["fire_risk"] - min(100, raw)) <= 0.51 and r["weather_day"] == d["day"]
     assert len({r["fire_risk"] for r in got.values()}) > 1
+
+
+def test_diverse_top_by_brute_force(spark, sf_dir):
+    import numpy as np
+
+    got = {}
+    for r in plans.QUERIES["x3_diverse_top"](spark, sf_dir).collect():
+        got.setdefault(r["id"], {})[r["place"]] = r["other"]
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    rows = {k: v / np.linalg.norm(v) for k, v in rows.items()}
+    assert set(got) == {k for k in rows if k % 20 == 0}
+    for q, places in got.items():
+        left = sorted((k for k in rows if k != q), key=lambda k: (-round(rows[q] @ rows[k], 9), k))[:10]
+        taken = []
+        while len(taken) < 5:
+            gain = {k: round(0.7 * (rows[q] @ rows[k]) - 0.3 * max((rows[k] @ rows[t] for t in taken), default=0), 9) for k in left if k not in taken}
+            taken.append(min(gain, key=lambda k: (-gain[k], k)))
+        assert [places[p] for p in sorted(places)] == taken

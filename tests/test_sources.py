@@ -101,3 +101,18 @@ def test_fallback_and_sinks(spark, tmp_path):
     assert next(tmp_path.glob("out/part*")).read_text() == 'a,b,lon,lat\n"say ""hi"", all",,1.0,2.0\n'
     assert json.loads(landed.as_features(rows).first()["value"])["geometry"]["coordinates"] == [1.0, 2.0]
     assert spark.range(1).select(landed.series_trend(F.array(F.lit(1.0), F.lit(12.0))).alias("t")).first()["t"] == "critical"
+
+
+def test_watersheds_and_street_images(spark, tmp_path):
+    square = lambda x: [[[x, 0], [x + 1, 0], [x + 1, 1], [x, 0]]]
+    path = put(tmp_path / "w.json", {"type": "FeatureCollection", "features": [feature("Polygon", square(x)) | {"id": str(x)} for x in (0, 2, 4, 6)] + [feature("Point", [0, 0]) | {"id": "p"}]})
+    good, _ = landed.collection(spark, path)
+    assert [r["id"] for r in landed.watersheds(good, (1, 0.5, 4.5, 2)).collect()] == ["0", "2", "4"]
+    assert [r["id"] for r in landed.watersheds(good, (-9, -9, 9, 9), limit=2).collect()] == ["0", "2"]
+    assert landed.watersheds(good.limit(0), (-9, -9, 9, 9)).count() == 0
+    image = lambda i, x, **more: {"id": i, "geometry": {"coordinates": [x, 1.0]}} | more
+    path = put(tmp_path / "i.json", {"data": [image("a", 1.0, thumb_1024_url="s", thumb_2048_url="l", sequence="q"), image("b", 5.0, sequence_id="q", sequence="r", compass_angle=9.0), {"id": "c", "thumb_2048_url": "l", "thumb_1024_url": ""}]})
+    got = landed.street_images(spark, path).collect()
+    assert [(r["id"], r["thumb_url"], r["compass_angle"], r["sequence_id"]) for r in got] == [("a", "s", 0, "q"), ("b", "", 9, "q"), ("c", "l", 0, "")]
+    assert [r["id"] for r in landed.street_images(spark, path, box=(0, 0, 2, 2)).collect()] == ["a"]
+    assert [r["thumb_url"] for r in landed.street_images(spark, path, sequence="q", large=True).collect()] == ["l", ""]

@@ -90,3 +90,23 @@ def test_append_new_is_idempotent(spark, tmp_path):
     sink(spark.range(3, 8), 1)
     sink(spark.range(3, 8), 1)
     assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/store").collect()) == list(range(8))
+
+
+def test_gauge_refresh_keeps_a_table_current(spark, tmp_path):
+    schema = "site_no long, site_name string, flow_cfs double, percentile int, trend string, condition string, updated_at timestamp"
+    frame = lambda *rows: spark.createDataFrame([(k, n, f, 1, "stable", "low", None) for k, n, f in rows], schema)
+    path, source = str(tmp_path / "table"), str(tmp_path / "in")
+    sink = flows.refresh(path, ["site_no"], ["flow_cfs", "percentile", "trend", "condition", "updated_at"])
+    state = lambda: {r["site_no"]: (r["site_name"], r["flow_cfs"]) for r in flows.current(spark, path).collect()}
+    sink(frame((1, "a", 1.0), (2, "b", 2.0)), 0)
+    sink(frame((2, "renamed", 5.0), (3, "c", 3.0), (3, "c", 4.0)), 1)
+    assert state() == {1: ("a", 1.0), 2: ("b", 5.0), 3: ("c", 4.0)}
+    sink(frame((2, "renamed", 5.0), (3, "c", 3.0), (3, "c", 4.0)), 1)  # again, after a failure
+    assert state() == {1: ("a", 1.0), 2: ("b", 5.0), 3: ("c", 4.0)}
+    sink(frame(), 2)
+    assert len(state()) == 3 and flows.versions(spark, path) == [1, 2]
+    frame((1, "x", 9.0)).write.parquet(source)
+    table = str(tmp_path / "streamed")
+    q = flows.gauge_refresh(spark.readStream.schema(schema).parquet(source), table, str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120) and q.exception() is None
+    assert flows.current(spark, table).first()["flow_cfs"] == 9.0

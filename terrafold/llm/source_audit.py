@@ -35,7 +35,7 @@ from terrafold.llm.common import hashed, materialize, owner, pieces, texts, word
 NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SHARE = 1_000_000_000
 #: Entries that a task of the first step merges before it gives them away, and numbers that one of a later step holds.
-HELD = 1 << 21
+HELD = 1 << 19
 #: Most groups (a language and a source); the result has a row for each two of a language.
 MAX_GROUPS = 1 << 20
 FULL = 3

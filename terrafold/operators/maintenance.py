@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.streaming.decisions import TrailingQuota, decided
+
 
 def upsert(base: DataFrame, batch: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Known keys take ``columns`` from the batch and keep the rest, unknown keys are added. Batch keys must be unique."""
@@ -50,22 +51,5 @@ def apply_changes(log: DataFrame, key: str, seq: str, op: str) -> DataFrame:
 
 
 def allowed_requests(requests: DataFrame, *, key: str = "asset_id", limit: int = 20, seconds: int = 3600) -> DataFrame:
-    """At most ``limit`` allowed requests of a key in the trailing window; only allowed ones count.
-
-    A key's requests are handled in order with a queue of the allowed times in the window.
-    """
-    rows = requests.select(F.col(key).alias("key"), "time", "id")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["time", "id"])
-        window, allowed, wait = [], [], []
-        for t in pdf["time"]:
-            window = [x for x in window if (t - x).total_seconds() < seconds]
-            allowed.append(len(window) < limit)
-            wait.append(0 if allowed[-1] else int(seconds - (t - window[0]).total_seconds()) + 1)
-            if allowed[-1]:
-                window.append(t)
-        return pdf.assign(allowed=allowed, retry_after=wait)
-
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.groupBy("key").applyInPandas(run, f"key {kind}, time timestamp, id long, allowed boolean, retry_after long")
+    """At most ``limit`` allowed requests of a key in the trailing window; only allowed ones count."""
+    return decided(requests, TrailingQuota(limit, seconds), keys=[key])

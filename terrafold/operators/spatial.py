@@ -1,13 +1,16 @@
-"""Spatial joins on grid cells, tile assignment, density clustering and hulls."""
+"""Spatial joins on grid cells, nearest rows, tile assignment and hulls."""
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo
-from terrafold.operators.components import components
+from terrafold.operators.density import dbscan  # noqa: F401  the clusters whose hulls are made here
 from terrafold.operators.storage import materialize
 
 KM_PER_DEGREE = 110.5  # a little below the true length, so that a box never cuts a circle
@@ -47,20 +50,73 @@ def within_join(left: DataFrame, right: DataFrame, km: Column, *, cell_km: float
     return near.where(F.col("distance_km") <= F.col("_km")).drop("_km", "cell_y", "cell_x")
 
 
-def nearest_join(left: DataFrame, right: DataFrame, key: str, right_key: str, km: Column, *, cell_km: float = 50.0, left_at=("lat", "lon"), right_at=("lat", "lon")) -> DataFrame:
-    """Per left ``key`` its nearest right row within ``km``; ties go to the smallest ``right_key``. No row without one."""
-    near = within_join(left, right, km, cell_km=cell_km, left_at=left_at, right_at=right_at)
-    best = F.min_by(F.struct(*near.columns), F.struct("distance_km", right_key)).alias("best")
-    return near.groupBy(F.col(key).alias("_key")).agg(best).select("best.*")
+def within_degrees(left: DataFrame, right: DataFrame, degrees: Column, *, cell: float, left_at=("lat", "lon"), right_at=("lat", "lon")) -> DataFrame:
+    """Pairs of rows of at most ``degrees`` (a column of ``left``, ``cell`` or less) in the plane, with ``distance_deg``."""
+    around = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("_reach")) / cell), F.floor((F.col(c) + F.col("_reach")) / cell)))
+    spread = left.withColumn("_reach", degrees).withColumn("_y", around(left_at[0])).withColumn("_x", around(left_at[1]))
+    placed = right.withColumn("_y", F.floor(F.col(right_at[0]) / cell)).withColumn("_x", F.floor(F.col(right_at[1]) / cell))
+    near = spread.join(placed, ["_y", "_x"]).withColumn("distance_deg", F.hypot(F.col(left_at[0]) - F.col(right_at[0]), F.col(left_at[1]) - F.col(right_at[1])))
+    return near.where(F.col("distance_deg") <= F.col("_reach")).drop("_reach", "_y", "_x")
+
+
+#: A ring's radius is this many times the one before; in even density a place meets about as many rows again as its square.
+GROWTH = 3
+
+
+def rings(left: DataFrame, right: DataFrame, cutoff: str, k: int, planar: bool, right_at: tuple[str, str]) -> list[float]:
+    """Radii of the search: the last is the largest cutoff; the first fits the cell that holds most rows."""
+    largest = left.agg(F.max(cutoff)).first()[0]
+    if largest is None:
+        return []
+    far = max(float(largest), 1e-6)
+    lat, lon = (F.col(c) for c in right_at)
+    cells = [F.floor(lat / far), F.floor(lon / far)] if planar else cell_of(lat, lon, far)
+    most = right.groupBy(*cells).count().agg(F.max("count")).first()[0] or 0
+    cuts = max(0, min(20, math.ceil(math.log(max(most / k, 1), GROWTH * GROWTH))))
+    return [far / GROWTH**j for j in range(cuts, -1, -1)]
+
+
+def nearest_k(left: DataFrame, right: DataFrame, key: str, right_key: str, reach: Column, *, k: int = 1, planar: bool = False, left_at=("lat", "lon"), right_at=("lat", "lon")) -> DataFrame:
+    """Per left ``key`` (unique) its ``k`` nearest right rows within ``reach``, with ``place`` from 1; ties go to the smallest ``right_key``.
+
+    The search goes by rings: everything within a small radius first, and only places that found fewer than ``k`` rows
+    there, and reach further, look within a larger one. The first radius comes from the rows of the densest cell, so a
+    place meets a bounded number of rows however dense they are. ``reach`` is in kilometres, or in degrees if ``planar``.
+    """
+    at, distance = "_cutoff", "distance_deg" if planar else "distance_km"
+    waiting = left.withColumn(at, reach.cast("double")).where(F.col(at).isNotNull())
+    found = None
+    radii = rings(waiting, right, at, k, planar, right_at)
+    for radius in radii or [1.0]:
+        span = F.least(F.col(at), F.lit(radius))
+        if planar:
+            near = within_degrees(waiting, right, span, cell=radius, left_at=left_at, right_at=right_at)
+        else:
+            near = within_join(waiting, right, span, cell_km=radius, left_at=left_at, right_at=right_at)
+        if k == 1:
+            best = near.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*near.columns), F.struct(distance, right_key)).alias("best")).select("best.*", F.lit(1).alias("place"), F.lit(1).alias("_n"))
+        else:
+            by = W.partitionBy(key)
+            ranked = near.withColumn("place", F.row_number().over(by.orderBy(distance, right_key))).where(F.col("place") <= k)
+            best = ranked.withColumn("_n", F.count("*").over(by))
+        if radius == (radii or [1.0])[-1]:
+            return (best if found is None else found.unionByName(best)).drop(at, "_n")
+        best = materialize(best)
+        done = best.where((F.col("_n") >= k) | (F.col(at) <= radius))
+        found = done if found is None else found.unionByName(done)
+        waiting = materialize(waiting.where(F.col(at) > radius).join(best.where(F.col("_n") >= k).select(key).distinct(), key, "left_anti").select(*waiting.columns))
+        if waiting.isEmpty():
+            return found.drop(at, "_n")
+
+
+def nearest_join(left: DataFrame, right: DataFrame, key: str, right_key: str, km: Column, *, left_at=("lat", "lon"), right_at=("lat", "lon")) -> DataFrame:
+    """Per left ``key`` its nearest right row within ``km``. No row without one."""
+    return nearest_k(left, right, key, right_key, km, left_at=left_at, right_at=right_at).drop("place")
 
 
 def nearest_planar(left: DataFrame, right: DataFrame, key: str, right_key: str, degrees: float, *, left_at=("lat", "lon"), right_at=("lat", "lon")) -> DataFrame:
-    """As ``nearest_join`` with the planar distance in degrees, cells of that size and their neighbours."""
-    around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / degrees) - 1, F.floor(F.col(c) / degrees) + 1))
-    spread = left.withColumn("_y", around(left_at[0])).withColumn("_x", around(left_at[1]))
-    placed = right.withColumn("_y", F.floor(F.col(right_at[0]) / degrees)).withColumn("_x", F.floor(F.col(right_at[1]) / degrees))
-    near = spread.join(placed, ["_y", "_x"]).withColumn("distance_deg", F.hypot(F.col(left_at[0]) - F.col(right_at[0]), F.col(left_at[1]) - F.col(right_at[1]))).where(F.col("distance_deg") <= degrees).drop("_y", "_x")
-    return near.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*near.columns), F.struct("distance_deg", right_key)).alias("best")).select("best.*")
+    """As ``nearest_join`` with the planar distance in degrees."""
+    return nearest_k(left, right, key, right_key, F.lit(degrees), planar=True, left_at=left_at, right_at=right_at).drop("place")
 
 
 def box_join(points: DataFrame, boxes: DataFrame, *, cell: float = 1.0, at=("lat", "lon")) -> DataFrame:
@@ -96,36 +152,6 @@ def tiles_of_points(points: DataFrame, zoom: int, *, at=("lat", "lon")) -> DataF
     return points.withColumns({"z": z, "x": geo.tile_x(F.col(at[1]), z), "y": geo.tile_y(F.col(at[0]), z)})
 
 
-def tiles_of_boxes(boxes: DataFrame, zoom: int) -> DataFrame:
-    """J6 for extents: one row for each tile that a box touches."""
-    z = F.lit(zoom)
-    xs = F.sequence(geo.tile_x(F.col("west"), z), geo.tile_x(F.col("east"), z))
-    ys = F.sequence(geo.tile_y(F.col("north"), z), geo.tile_y(F.col("south"), z))
-    return boxes.withColumn("z", z).withColumn("x", F.explode(xs)).withColumn("y", F.explode(ys))
-
-
-def dbscan(points: DataFrame, *, part: str, eps: float, min_points: int) -> DataFrame:
-    """Density clusters per ``part`` (columns ``id, lat, lon``); noise is left out. ``cluster`` is the least core id.
-
-    Points of equal place are one with a weight. Cells have the size eps, so neighbours lie in the nine cells around. A
-    border point joins the smallest neighbouring cluster.
-    """
-    spots = materialize(points.groupBy(part, "lat", "lon").agg(F.min("id").alias("spot"), F.count("*").alias("weight")))
-    cell = lambda c: F.floor(F.col(c) / eps)
-    around = spots.select(F.col(part).alias("p"), F.col("spot").alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.explode(F.sequence(cell("lat") - 1, cell("lat") + 1)).alias("y"), cell("lon").alias("x0")).withColumn("x", F.explode(F.sequence(F.col("x0") - 1, F.col("x0") + 1)))
-    placed = spots.select(F.col(part).alias("p"), F.col("spot").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), "weight", cell("lat").alias("y"), cell("lon").alias("x"))
-    near = around.join(placed, ["p", "y", "x"]).where(F.hypot(F.col("lat_a") - F.col("lat_b"), F.col("lon_a") - F.col("lon_b")) <= eps)
-    near = materialize(near.select("p", "a", "b", "weight"))
-    core = materialize(near.groupBy("p", "a").agg(F.sum("weight").alias("n")).where(F.col("n") >= min_points).select("p", "a"))
-    to_core = near.join(core.withColumnRenamed("a", "b"), ["p", "b"])  # neighbours that are core points
-    links = to_core.join(core, ["p", "a"], "left_semi").where("a <> b").select("a", "b")
-    labels = components(links)
-    named = core.join(labels, F.col("a") == F.col("node"), "left").select("p", "a", F.coalesce("label", "a").alias("cluster"))
-    joined = to_core.join(named.select("p", F.col("a").alias("b"), "cluster"), ["p", "b"]).groupBy("p", "a").agg(F.min("cluster").alias("joined"))
-    final = joined.join(named, ["p", "a"], "left").select(F.col("p").alias(part), F.col("a").alias("spot"), F.coalesce("cluster", "joined").alias("cluster"))
-    return points.join(spots.select(part, "lat", "lon", "spot"), [part, "lat", "lon"]).join(final, [part, "spot"]).drop("spot")
-
-
 def hull_of(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Convex hull, counter-clockwise and open; collinear points give the two ends, one point itself."""
     pts = sorted(set(points))

@@ -1,6 +1,6 @@
 """Registered queries over the logical tables."""
 
-from terrafold.plans import context, core, fire_weather, measures, more, places, recommend
+from terrafold.plans import context, core, fire_weather, measures, more, places, recommend, shapes, streams
 from terrafold.plans.views import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "context", "core", "fire_weather", "measures", "more", "places", "recommend"]
+__all__ = ["ORACLES", "QUERIES", "context", "core", "fire_weather", "measures", "more", "places", "recommend", "shapes", "streams"]

@@ -97,7 +97,7 @@ with p as (select w.id, g.site_no, {km_sql('w.lat', 'w.lon', 'g.lat', 'g.lon')}
 select id, arg_min(site_no, (km, site_no)) as site_no, {up('min(km)', 3)} as km from p where km <= 200 group by 1""")
 def critical_gauge(places: DataFrame, gauges: DataFrame) -> DataFrame:
     right = gauges.where("condition = 'critically_low'").select("site_no", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"))
-    near = spatial.nearest_join(places.select("id", "lat", "lon"), right, "id", "site_no", F.lit(200.0), cell_km=200.0, right_at=("g_lat", "g_lon"))
+    near = spatial.nearest_join(places.select("id", "lat", "lon"), right, "id", "site_no", F.lit(200.0), right_at=("g_lat", "g_lon"))
     return near.select("id", "site_no", half_up(F.col("distance_km"), 3).alias("km"))
 
 
@@ -150,9 +150,8 @@ select site_no, id, {up('km', 3)} as km from r where rn <= 5""")
 def nearby_points(gauges: DataFrame, soil: DataFrame) -> DataFrame:
     """The nearest five points within 60 km of every gauge."""
     right = soil.select("id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    near = spatial.within_join(gauges.select("site_no", "lat", "lon"), right, F.lit(60.0), cell_km=60.0, right_at=("s_lat", "s_lon"))
-    rn = F.row_number().over(W.partitionBy("site_no").orderBy("distance_km", "id"))
-    return near.withColumn("rn", rn).where("rn <= 5").select("site_no", "id", half_up(F.col("distance_km"), 3).alias("km"))
+    near = spatial.nearest_k(gauges.select("site_no", "lat", "lon"), right, "site_no", "id", F.lit(60.0), k=5, right_at=("s_lat", "s_lon"))
+    return near.select("site_no", "id", half_up(F.col("distance_km"), 3).alias("km"))
 
 
 @query("w4_density_clusters", "strategy_requests", sql="""
@@ -278,7 +277,7 @@ def alerts(subs: DataFrame, places: DataFrame, fires: DataFrame, areas: DataFram
     km = F.floor(F.col("distance_km") + 0.5).cast("int")
     burning = spatial.nearest_join(of("fire_proximity"), other(fires.where(since("detected_at", AS_OF, "'10' DAY")), "id"), "location_id", "key", F.col("radius_km"), right_at=("o_lat", "o_lon"))
     dry = spatial.box_join(of("drought_escalation"), areas.where("dm >= 3").select("dm", "west", "south", "east", "north"), cell=2.0).groupBy("user_id", "location_id").agg(F.max("dm").alias("dm"))
-    low = spatial.nearest_join(of("streamflow_critical"), other(gauges.where("condition = 'critically_low'"), "site_no"), "location_id", "key", F.lit(200.0), cell_km=200.0, right_at=("o_lat", "o_lon"))
+    low = spatial.nearest_join(of("streamflow_critical"), other(gauges.where("condition = 'critically_low'"), "site_no"), "location_id", "key", F.lit(200.0), right_at=("o_lat", "o_lon"))
     zones = spatial.within_join(of("priority_zone_created"), other(requests.where("status = 'open' and vote_count >= 55"), "id"), F.col("radius_km"), right_at=("o_lat", "o_lon")).groupBy("user_id", "location_id").agg(F.count("*").alias("n"))
     parts = (
         made(burning, "fire_proximity", models.distance_severity(F.col("distance_km")), F.format_string("Active fire detected %d km away", km)),

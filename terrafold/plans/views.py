@@ -16,6 +16,10 @@ def spread(key: str, a: int, b: int, m: int, base: int) -> str:
 FIRE_LAT, FIRE_LON = (31, 7919, 16001, 32), (17, 104729, 23981, -124)
 AREA_LAT, AREA_LON = (31, 7919, 4001, 37), (17, 104729, 3989, -122)
 
+#: Extent of a basin in degrees: some as large as states, most small.
+BASIN = "CAST(CASE WHEN s_suppkey % 7 = 0 THEN 6.5 WHEN s_suppkey % 3 = 0 THEN 0.9 ELSE 0.15 END AS DOUBLE)"
+#: Zoom of an asked tile, and its column and row by the Web-Mercator formulas.
+ASKED_ZOOM = "CAST(3 + c_custkey % 8 AS INT)"
 STRATEGIES = ("keyline", "silvopasture", "reforestation", "biochar", "water_harvesting", "cover_cropping")
 
 
@@ -39,6 +43,9 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "water_gauges": ("supplier", ("s_suppkey AS site_no", "s_name AS site_name", f"{spread('s_suppkey', *FIRE_LAT)} AS lat", f"{spread('s_suppkey', *FIRE_LON)} AS lon", "s_acctbal AS flow_cfs", f"{PERCENTILE} AS percentile", f"{condition('(' + PERCENTILE + ')')} AS condition")),
     "watched_locations": ("customer", ("c_custkey AS id", "c_custkey AS user_id", "c_name AS name", f"{spread('c_custkey', *FIRE_LAT)} AS lat", f"{spread('c_custkey', *FIRE_LON)} AS lon", "CAST(10 + c_custkey % 190 AS INT) AS radius_km")),
     "alert_subscriptions": ("customer", ("c_custkey AS user_id", "c_custkey AS watched_location_id", f"{pick('c_custkey', ('fire_proximity', 'drought_escalation', 'streamflow_critical', 'priority_zone_created'))} AS alert_type", "c_custkey % 5 <> 0 AS in_app_enabled")),
+    "basins": ("supplier", ("s_suppkey AS id", f"{spread('s_suppkey', *FIRE_LON)} AS x1", f"{spread('s_suppkey', *FIRE_LAT)} AS y1", f"{spread('s_suppkey', *FIRE_LON)} + {BASIN} AS x2", f"{spread('s_suppkey', *FIRE_LAT)} + {BASIN} / 4 AS y2", f"{spread('s_suppkey', *FIRE_LON)} + {BASIN} / 3 AS x3", f"{spread('s_suppkey', *FIRE_LAT)} + {BASIN} AS y3", "1984 + s_suppkey % 41 AS burned")),
+    "trails": ("customer", ("c_custkey AS id", f"{spread('c_custkey', *FIRE_LON)} AS x1", f"{spread('c_custkey', *FIRE_LAT)} AS y1", f"{spread('c_custkey', *FIRE_LON)} + (c_custkey % 9) / CAST(8.0 AS DOUBLE) AS x2", f"{spread('c_custkey', *FIRE_LAT)} - (c_custkey % 5) / CAST(16.0 AS DOUBLE) AS y2", f"{spread('c_custkey', *FIRE_LON)} + (c_custkey % 4) / CAST(4.0 AS DOUBLE) AS x3", f"{spread('c_custkey', *FIRE_LAT)} + (c_custkey % 11) / CAST(16.0 AS DOUBLE) AS y3")),
+    "asked_tiles": ("customer", (f"{ASKED_ZOOM} AS z", f"CAST(floor(({spread('c_custkey', *FIRE_LON)} + 180) / 360 * pow(2, {ASKED_ZOOM})) AS BIGINT) AS x", f"CAST(floor((1 - ln(tan(radians({spread('c_custkey', *FIRE_LAT)})) + 1 / cos(radians({spread('c_custkey', *FIRE_LAT)}))) / pi()) / 2 * pow(2, {ASKED_ZOOM})) AS BIGINT) AS y")),
     "environmental_alerts": ("events", ("event_id AS id", "user_id", f"{pick('event_id', ('critical', 'warning', 'info'))} AS severity", "event_id % 2 = 0 AS is_read", "event_id % 50 AS watched_location_id", f"{pick('event_id', ('fire_proximity', 'drought_escalation', 'streamflow_critical', 'priority_zone_created'))} AS alert_type", f"{TS} AS created_at")),
     "geofences": ("nation", ("n_nationkey AS id", "n_name AS name", "-122 + (n_nationkey % 5) * CAST(0.8 AS DOUBLE) AS west", "37 + CAST(floor(n_nationkey / 5) AS INT) * CAST(0.8 AS DOUBLE) AS south", "n_nationkey % 2 = 0 AS alert_on_enter", "n_nationkey % 3 = 0 AS alert_on_exit")),
     "drought_areas": ("region", ("r_regionkey AS ordinal", "r_regionkey AS dm", "-124 + r_regionkey * CAST(2.5 AS DOUBLE) AS west", "32 + r_regionkey * CAST(1.5 AS DOUBLE) AS south", "-124 + r_regionkey * CAST(2.5 AS DOUBLE) + 12 AS east", "32 + r_regionkey * CAST(1.5 AS DOUBLE) + 8 AS north")),

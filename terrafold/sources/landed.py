@@ -163,23 +163,23 @@ def weather_hourly(spark: SparkSession, path: str) -> DataFrame:
     return df.select("lat", "lon", F.explode(zipped).alias("h")).select("lat", "lon", F.to_timestamp("h.time").alias("time"), "h.temp", "h.wind")
 
 
-def burn_perimeters(features: DataFrame, year_from: int | None = None, year_to: int | None = None) -> DataFrame:
-    """Renamed and typed properties, by year."""
+def burn_perimeters(features: DataFrame, year_from: int | None = None, year_to: int | None = None, box: tuple[float, float, float, float] | None = None, limit: int = 500) -> DataFrame:
+    """Renamed and typed properties, by year; with a box those whose polygon meets it, at most ``limit`` by id as the feed itself caps them."""
     from terrafold.functions.models import burn_severity
+    from terrafold.operators.shapes import in_bounds
 
     prop = lambda n: F.get_json_object("properties", f"$.{n}")
     rows = polygons(features).select(prop("Fire_ID").alias("fire_id"), F.coalesce(prop("Fire_Name"), F.lit("Unknown")).alias("name"), prop("Ig_Date").try_cast("date").alias("ignited"), F.coalesce(number(prop("BurnBndAc")), F.lit(0.0)).alias("acres"), burn_severity(number(prop("Severity"))).alias("severity"), "rings")
     year = F.year("ignited")
-    return rows.where((year >= year_from if year_from else F.lit(True)) & (year <= year_to if year_to else F.lit(True))).withColumn("year", year)
+    kept = rows.where((year >= year_from if year_from else F.lit(True)) & (year <= year_to if year_to else F.lit(True))).withColumn("year", year)
+    return in_bounds(kept, box).orderBy("fire_id").limit(limit) if box else kept
 
 
 def watersheds(features: DataFrame, box: tuple[float, float, float, float], limit: int = 500) -> DataFrame:
-    """Basin polygons whose bounds meet the box (borders included), at most ``limit`` by id as the feed itself caps them."""
-    from terrafold.functions.geo import rings_bbox
+    """Basin polygons that share a point with the box, at most ``limit`` by id as the feed itself caps them."""
+    from terrafold.operators.shapes import in_bounds
 
-    bounded = polygons(features).withColumn("b", rings_bbox(F.col("rings")))
-    meets = (F.col("b.west") <= box[2]) & (F.col("b.east") >= box[0]) & (F.col("b.south") <= box[3]) & (F.col("b.north") >= box[1])
-    return bounded.where(meets).orderBy("id").limit(limit).drop("b")
+    return in_bounds(polygons(features), box).orderBy("id").limit(limit)
 
 
 IMAGES = "data array<struct<id string, geometry struct<coordinates array<double>>, thumb_1024_url string, thumb_2048_url string, compass_angle double, sequence_id string, sequence string>>"

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from terrafold.operators.maintenance import upsert
-from terrafold.operators.storage import remove, subfolders
+from terrafold.operators.buckets import BucketTable, KeyedStore
 from terrafold.sources.landed import POSITION, SENSOR
 
 
@@ -105,50 +104,32 @@ def geofence_events(positions: DataFrame, fences: list[tuple[int, float, float,
     return keyed.groupBy("asset_id").applyInPandasWithState(step, FENCE_EVENT, "at long, inside string", "append", GroupStateTimeout.NoTimeout)
 
 
-def append_new(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that appends rows whose key is not stored yet, in a folder for each batch.
+def append_new(path: str, keys: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that appends rows whose key is not stored yet (``KeyedStore``).
 
-    A batch that runs again after a failure writes its own folder anew, so nothing is stored twice.
+    A batch opens only the files whose key filters may hold one of its keys. A batch that runs again after a failure
+    writes its own folder anew, so nothing is stored twice.
     """
+    return KeyedStore(path, tuple(keys), buckets).append
 
-    def sink(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates(keys)
-        spark = batch.sparkSession
-        stored = [x for x in subfolders(spark, path) if x.startswith("batch=") and x != f"batch={number}"]
-        old = spark.read.schema(batch.schema).option("basePath", path).parquet(*(f"{path}/{x}" for x in stored)) if stored else None
-        kept = new if old is None else new.join(old.select(*keys), keys, "left_anti")
-        kept.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return sink
+def refresh(path: str, keys: list[str], columns: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps a table (gauges) current; known keys take ``columns``, new keys are added (``BucketTable``).
 
-
-def refresh(path: str, keys: list[str], columns: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps a small table (gauges) current; known keys take ``columns``, new keys are added.
-
-    Batch n is applied to the newest earlier version and written as ``version=n``, so a batch that runs again gives the
-    same table. The version before is kept for readers, older ones go. Of a key that a batch holds twice, the row whose
-    ``columns`` are largest counts. Read the table with ``current``.
+    Batch n is applied to the newest earlier version, so a batch that runs again gives the same table. The version before
+    is kept for readers. Read the table with ``current``.
     """
-
-    def sink(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        one = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.struct(*columns)).alias("r")).select("r.*")
-        older = [v for v in versions(spark, path) if v < number]
-        state = upsert(spark.read.schema(batch.schema).parquet(f"{path}/version={older[-1]}"), one, keys, columns) if older else one
-        state.write.mode("overwrite").parquet(f"{path}/version={number}")
-        for v in older[:-1]:
-            remove(spark, f"{path}/version={v}")
-
-    return sink
+    table = BucketTable(path, tuple(keys), buckets)
+    return lambda batch, number: table.upsert(batch, number, columns)
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
-    return sorted(int(x.removeprefix("version=")) for x in subfolders(spark, path) if x.startswith("version="))
+    return BucketTable(path, ()).versions(spark)
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The newest whole version of a table that ``refresh`` keeps."""
-    return spark.read.parquet(f"{path}/version={versions(spark, path)[-1]}")
+    return BucketTable(path, ()).read(spark)
 
 
 def gauge_refresh(rows: DataFrame, path: str, checkpoint: str, every: str = "15 minutes") -> DataStreamWriter:

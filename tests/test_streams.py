@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from terrafold.operators import tracks
 from terrafold.plans.views import view
 from terrafold.streaming import flows
+from terrafold.streaming.decisions import Cooldown, MinuteQuota, TrailingQuota, decided, decisions, with_timers
+from terrafold.streaming.settle import settled
 
 
 @pytest.fixture(scope="module")
@@ -110,3 +112,39 @@ def test_gauge_refresh_keeps_a_table_current(spark, tmp_path):
     q = flows.gauge_refresh(spark.readStream.schema(schema).parquet(source), table, str(tmp_path / "c")).trigger(availableNow=True).start()
     assert q.awaitTermination(120) and q.exception() is None
     assert flows.current(spark, table).first()["flow_cfs"] == 9.0
+
+
+RULES = {"quota": TrailingQuota(2, 43_200), "cooldown": Cooldown(), "minute": MinuteQuota(1)}
+
+
+@pytest.mark.parametrize("rule", sorted(RULES))
+def test_decisions_in_a_stream_equal_the_batch(spark, sf_dir, tmp_path, rule):
+    """Rows come in files of shuffled time, up to two days late; the query is stopped after half of them."""
+    with_timers(spark)
+    rows = view(spark, sf_dir, "positions").withColumn("asset_id", (F.col("asset_id") % 7).cast("string")).where("time is not null").select("asset_id", "id", "time")
+    day = F.dayofmonth("time")
+    files = rows.withColumn("part", F.floor((day + F.pmod(F.xxhash64("id"), F.lit(2))) / 6).cast("int"))
+    end = spark.createDataFrame([("end", -1, "2030-01-01 00:00:00")], "asset_id string, id long, time string").withColumn("time", F.to_timestamp("time"))
+    source, want = f"{tmp_path}/in", decided(rows, RULES[rule], keys=["asset_id"]).collect()
+
+    def land(part, df):
+        df.coalesce(1).write.mode("append").parquet(source)
+        for f in Path(source).glob("part-*"):
+            if f.stat().st_mtime > 1_600_000_000:
+                os.utime(f, (1_500_000_000 + 60 * part,) * 2)
+
+    parts = sorted(r["part"] for r in files.select("part").distinct().collect())
+    stream = lambda: decisions(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source), RULES[rule], keys=["asset_id"], late="3 days")
+    for p in parts[:3]:
+        land(p, files.where(F.col("part") == p).select(rows.columns))
+    first = settled(stream(), path=f"{tmp_path}/out").count()
+    for p in parts[3:]:
+        land(p, files.where(F.col("part") == p).select(rows.columns))
+    land(99, end)
+    got = settled(stream(), path=f"{tmp_path}/out").where("asset_id <> 'end'").collect()
+    assert 0 < first < len(got)
+    order = lambda found: sorted((r["asset_id"], r["id"], r["time"], r["allowed"], r["retry_after"]) for r in found)
+    assert order(got) == order(want) and {r["allowed"] for r in want} == {True, False}
+    for state in ("pending", "held"):  # all but the closing row is forgotten
+        left = spark.read.format("statestore").option("stateVarName", state).load(f"{tmp_path}/out/checkpoint")
+        assert {r["key"]["asset_id"] for r in left.select("key").collect()} <= {"end"}

@@ -37,6 +37,13 @@ CARBON_MULTIPLIERS = {"reforestation": 1.5, "silvopasture": 1.2, "cover_cropping
 STRATEGY_WEIGHTS = {"keyline": (0.4, 0.2, 0.1, 0.2, 0.1), "silvopasture": (0.2, 0.3, 0.2, 0.2, 0.1), "reforestation": (0.15, 0.25, 0.25, 0.3, 0.05), "biochar": (0.1, 0.45, 0.1, 0.2, 0.15), "water_harvesting": (0.5, 0.15, 0.05, 0.15, 0.15), "cover_cropping": (0.2, 0.4, 0.05, 0.25, 0.1)}
 CONDITION_STRESS = {"above_normal": 20, "normal": 35, "below_normal": 55, "low": 70, "critically_low": 90, "unknown": 50}
 DROUGHT_LABELS = {0: "D0 Abnormally Dry", 1: "D1 Moderate Drought", 2: "D2 Severe Drought", 3: "D3 Extreme Drought", 4: "D4 Exceptional Drought"}
+DROUGHT_WORDINGS = {
+    "layer": tuple(DROUGHT_LABELS.values()),
+    "record": ("D0 (Abnormally Dry)", "D1 (Moderate Drought)", "D2 (Severe Drought)", "D3 (Extreme Drought)", "D4 (Exceptional Drought)"),
+    "interface": ("D0 - Abnormally Dry", "D1 - Moderate", "D2 - Severe", "D3 - Extreme", "D4 - Exceptional"),
+    "export": ("None", "D0 Abnormally Dry", "D1 Moderate", "D2 Severe", "D3 Extreme", "D4 Exceptional"),
+}
+WATER_BANDS = ((-0.2, "Severe water stress"), (0.0, "High water stress"), (0.2, "Moderate stress"), (0.4, "Adequate moisture"), (0.6, "High moisture"))
 SEVERITY_LABELS = {1: "unburned", 2: "low", 3: "moderate", 4: "high", 5: "increased_greenness"}
 DMC_DAY_LENGTH = (6.5, 7.5, 9.0, 12.8, 13.9, 13.9, 12.4, 10.9, 9.4, 8.0, 7.0, 6.0)
 DC_DAY_FACTOR = (-1.6, -1.6, -1.6, 0.9, 3.8, 5.8, 6.4, 5.0, 2.4, 0.4, -1.6, -1.6)
@@ -235,9 +242,43 @@ def burn_severity(code: Column) -> Column:
     return lookup(code.cast("int"), SEVERITY_LABELS, "unburned")
 
 
-def drought_label(dm: Column) -> Column:
-    """D26."""
-    return lookup(dm.cast("int"), DROUGHT_LABELS, "None")
+def drought_label(dm: Column, wording: str = "layer") -> Column:
+    """The text of a drought class, in the wording of map layers, records, the programming interface or exports.
+
+    Exports count classes from 1, with "None" for 0 and less and the strongest text above; the others have no text for a
+    class outside 0 to 4: layers say "None", records null, the interface the letter and number.
+    """
+    names = dict(enumerate(DROUGHT_WORDINGS[wording]))
+    if wording == "export":
+        return lookup(F.least(F.greatest(dm.cast("int"), F.lit(0)), F.lit(5)), names, "None")
+    if wording == "interface":
+        return F.when(dm.isNotNull(), F.coalesce(lookup(dm.cast("int"), names, None), F.concat(F.lit("D"), dm.cast("int").cast("string"))))
+    return lookup(dm.cast("int"), names, "None" if wording == "layer" else None)
+
+
+def water_label(value: Column) -> Column:
+    """Band of a water index."""
+    return banded(value, WATER_BANDS, "Water body")
+
+
+def point_risk(risk: Column, fwi_: Column, code: Column) -> Column:
+    """The composite score, and how sure it is: by a known vegetation code and a high fire-weather index."""
+    sure = F.when(code > 0, F.when(fwi_ > 30, "high").otherwise("medium")).otherwise("low")
+    return F.struct(composite_risk(risk, fwi_).alias("score"), sure.alias("confidence"))
+
+
+def badges(risk: Column, dm: Column, percentile: Column, fires: Column) -> Column:
+    """Words and colours for a region's fire risk, drought class, streamflow percentile and number of fires."""
+    colours = ("red", "yellow", "green")
+
+    def badge(at_red: Column, at_yellow: Column, words: tuple[str, str, str]) -> Column:
+        pick = lambda names: F.when(at_red, names[0]).when(at_yellow, names[1]).otherwise(names[2])
+        return F.concat(pick(words), F.lit("/"), pick(colours))
+
+    return F.struct(
+        badge(risk >= 60, risk >= 30, ("High", "Moderate", "Low")).alias("risk"), badge(dm >= 3, dm >= 2, ("Severe", "Moderate", "Normal")).alias("drought"),
+        badge(percentile <= 20, percentile <= 40, ("Critically Low", "Below Normal", "Normal")).alias("streamflow"), badge(fires > 20, fires > 5, ("High", "Elevated", "Normal")).alias("fires"),
+    )
 
 
 def growing_system(scarcity: Column, anomalies: Column, fire: Column) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.functions.models import DC_DAY_FACTOR, DMC_DAY_LENGTH, bui, fwi, isi
+from terrafold.functions.clip import let
+from terrafold.functions.models import DC_DAY_FACTOR, DMC_DAY_LENGTH, bui, dc, dmc, ffmc, fwi, isi
 
 
 def tenth(x: float) -> float:
@@ -16,7 +16,7 @@ def tenth(x: float) -> float:
 
 
 def next_state(temp: float, rh: float, wind: float, rain: float, month: int, state: tuple[float, float, float]) -> tuple[float, float, float]:
-    """A day's FFMC, DMC and DC from the day before."""
+    """A day's FFMC, DMC and DC from the day before, for one station in Python; the fold is tested against it."""
     f0, p0, d0 = state
     m = 147.2 * (101 - f0) / (59.5 + f0)
     if rain > 0.5:
@@ -43,18 +43,35 @@ def next_state(temp: float, rh: float, wind: float, rain: float, month: int, sta
     return tenth(59.5 * (250 - m) / (147.2 + m)), p, d
 
 
+#: Days that one inner fold collects; arrays of this length are put together in the outer one.
+FOLDED = 64
+
+
 def fire_weather_series(days: DataFrame, start: tuple[float, float, float] = (85.0, 6.0, 15.0), variant: str = "published") -> DataFrame:
-    """Codes and indices of every station and day; a station's days (one row each) are one group."""
-    rows = days.select("station_id", "day", "temp", "rh", "wind_kmh", "rain")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        state, out = start, []
-        for r in pdf.itertuples():
-            state = next_state(r.temp, r.rh, r.wind_kmh, r.rain, r.day.month, state)
-            out.append((r.station_id, r.day, r.wind_kmh, *state))
-        return pd.DataFrame(out, columns=["station_id", "day", "wind_kmh", "ffmc", "dmc", "dc"])
-
-    coded = rows.groupBy("station_id").applyInPandas(run, "station_id long, day date, wind_kmh double, ffmc double, dmc double, dc double")
+    """Codes and indices of every station and day, by a fold over the station's days in order; it stays inside the JVM.
+
+    A station's days (one row each) are one row. They are folded in parts, so that the results aren't copied for each day.
+    """
+    rows = days.groupBy("station_id").agg(F.array_sort(F.collect_list(F.struct("day", "temp", "rh", "wind_kmh", "rain"))).alias("days"))
+    kind = "array<struct<day:date,wind_kmh:double,ffmc:double,dmc:double,dc:double>>"
+    number = lambda c: c.cast("double")
+
+    def state(f: Column, p: Column, d: Column, out: Column) -> Column:
+        return F.struct(number(f).alias("f"), number(p).alias("p"), number(d).alias("d"), out.cast(kind).alias("out"))
+
+    def day_step(s: Column, x: Column) -> Column:
+        month = F.month(x["day"])
+        f, p, d = ffmc(x["temp"], x["rh"], x["wind_kmh"], x["rain"], s["f"]), dmc(x["temp"], x["rh"], x["rain"], s["p"], month), dc(x["temp"], x["rain"], s["d"], month)
+        made = F.struct(x["day"].alias("day"), number(x["wind_kmh"]).alias("wind_kmh"), number(f).alias("ffmc"), number(p).alias("dmc"), number(d).alias("dc"))
+        return let(made, lambda m: state(m["ffmc"], m["dmc"], m["dc"], F.concat(s["out"], F.array(m))))
+
+    def part_step(s: Column, first: Column) -> Column:
+        part = F.slice(F.col("days"), first, F.lit(FOLDED))
+        done = F.aggregate(part, state(s["f"], s["p"], s["d"], F.array()), day_step)
+        return let(done, lambda e: state(e["f"], e["p"], e["d"], F.concat(s["out"], e["out"])))
+
+    firsts = F.sequence(F.lit(1), F.size("days"), F.lit(FOLDED))
+    folded = F.aggregate(firsts, state(*map(F.lit, start), F.array()), part_step)["out"]
+    coded = rows.select("station_id", F.inline(folded))
     with_isi = coded.withColumn("isi", isi(F.col("wind_kmh"), F.col("ffmc"), variant)).withColumn("bui", bui(F.col("dmc"), F.col("dc")))
     return with_isi.withColumn("fwi", fwi(F.col("isi"), F.col("bui"))).drop("wind_kmh")

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +11,7 @@ from pyspark.sql import functions as F
 from terrafold.functions import models
 from terrafold.functions.models import half_up
 from terrafold.operators import spatial
+from terrafold.operators.vectors import VectorIndex, top_similar
 from terrafold.plans.core import exact_avg, sql_avg
 from terrafold.plans.views import query
 
@@ -111,49 +109,37 @@ def chunks(documents: DataFrame) -> DataFrame:
     return each.select("doc_id", "chunk", F.length(part).cast("long").alias("n"), F.sha2(part, 256).alias("hash"))
 
 
-BLOCK = 512
-
-
-def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
-    """Exact cosine top-k of a stated query set (``id, v``) against all vectors, in blocks.
-
-    Both sides are packed into blocks; each pair of blocks is one matrix product whose best k per query go on, so
-    what leaves a task is k rows for each query, and the best of those are taken by query.
-    """
-    n_q, n_v = (max(1, -(-df.count() // block)) for df in (queries, vectors))
-    pack = lambda df, n, name: df.groupBy((F.pmod(F.xxhash64("id"), F.lit(n))).alias(f"{name}_block")).agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("v").alias(f"{name}_vs"))
-
-    def unit(rows: list) -> np.ndarray:
-        x = np.array(rows, np.float64)
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q_ids, q_vs, v_ids, v_vs in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_vs", "v_ids", "v_vs")), strict=True):
-                ids, scores = np.array(v_ids), unit(q_vs) @ unit(v_vs).T
-                scores[np.array(q_ids)[:, None] == ids[None]] = -2
-                best = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
-                at = np.repeat(np.arange(len(q_ids)), best.shape[1])
-                found = scores[at, best.ravel()]
-                ok = found > -2
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(q_ids)[at][ok]), pa.array(ids[best.ravel()][ok]), pa.array(found[ok])], names=["id", "other", "similarity"])
-
-    pairs = pack(queries, n_q, "q").join(pack(vectors, n_v, "v")).repartition("q_block", "v_block")
-    found = pairs.select("q_ids", "q_vs", "v_ids", "v_vs").mapInArrow(run, "id long, other long, similarity double")
-    place = F.row_number().over(W.partitionBy("id").orderBy(F.desc(F.round("similarity", 9)), "other"))
-    return found.withColumn("place", place).where(F.col("place") <= k)
-
-
-@query("x2_cosine_top_k", "embeddings", sql="""
+X2_SQL = """
 with s as (select q.vec_id as id, v.vec_id as other, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as sim from embeddings q join embeddings v on q.vec_id % 20 = 0 and q.vec_id <> v.vec_id),
 r as (select *, row_number() over (partition by id order by round(sim, 9) desc, other) as place from s)
-select id, place::int as place, other, floor(sim * 10000 + 0.5::double) / 10000.0::double as similarity from r where place <= 10""")
+select id, place::int as place, other, floor(sim * 10000 + 0.5::double) / 10000.0::double as similarity from r where place <= 10"""
+
+
+@query("x2_cosine_top_k", "embeddings", sql=X2_SQL)
 def cosine_top(embeddings: DataFrame) -> DataFrame:
     """Queries are the rows whose id is divisible by 20, against all rows."""
     rows = embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return top_similar(rows.where("id % 20 = 0"), rows).select("id", "place", "other", half_up(F.col("similarity"), 4).alias("similarity"))
 
 
+@query("x2_index_exact", "embeddings", sql=X2_SQL)
+def indexed_exact(embeddings: DataFrame) -> DataFrame:
+    """X2 through the index: the same rows, by the cells that can hold them."""
+    rows = embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found = VectorIndex.fit(rows).search(rows.where("id % 20 = 0"), exact=True)
+    return found.select("id", "place", "other", half_up(F.col("similarity"), 4).alias("similarity"))
+
+
+@query("x2_index_recall", "embeddings")
+def index_recall(embeddings: DataFrame) -> DataFrame:
+    """Of each query, how many of its ten nearest the nearest cells hold, and the share of cells that were looked into."""
+    rows = embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    index, queries = VectorIndex.fit(rows), rows.where("id % 20 = 0")
+    truth = top_similar(queries, rows).select("id", "other")
+    hit = truth.join(index.search(queries).select("id", "other", F.lit(1).alias("hit")), ["id", "other"], "left")
+    return hit.groupBy("id").agg(F.count("hit").alias("found"), F.count("*").alias("wanted"), F.lit(index.probes / len(index.centres)).alias("looked_into"))
+
+
 def diverse(found: DataFrame, vectors: DataFrame, keep: int = 5, weight: float = 0.7) -> DataFrame:
     """Maximal marginal relevance over each query's top rows (``id``, ``other``, ``similarity``).
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.plans.views import ORACLES, QUERIES, VIEWS, query
+from terrafold.functions.models import half_up
+from terrafold.operators.buckets import BucketTable, KeyedStore
+from terrafold.operators.storage import shared_dir
+from terrafold.plans.views import ORACLES, QUERIES, VIEWS, query, view
 from terrafold.streaming.decisions import Cooldown, MinuteQuota, TrailingQuota, decided, decisions, with_timers
+from terrafold.streaming.partials import PartialStore
 from terrafold.streaming.settle import settled
 
 #: A request may come so much later than a newer one.
@@ -90,3 +94,45 @@ ORACLES["r11_minute_stream"] = positions_sql(
     f"SELECT id, asset_id, n = 1 AS allowed, CASE WHEN n = 1 THEN 0 ELSE 60 - extract(second FROM time) END::bigint AS retry_after FROM q WHERE {PASSED}",
     "positions",
 )
+
+
+def kept_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly fire risk from partials that a stream keeps current."""
+    store = PartialStore(shared_dir(spark))
+    rows = landed(spark, sf_dir, "features").where("kind = 'fire_detection'")
+    query = store.keep(rows, F.date_trunc("hour", "created_at"), "risk_score").trigger(availableNow=True).start()
+    query.awaitTermination()
+    merged = store.partials(spark)
+    return merged.select("bucket", half_up(F.col("total").cast("double") / F.col("n"), 4).alias("avg_risk"), F.col("most").alias("max_risk"), "n")
+
+
+QUERIES["r9_hourly_fire_kept"] = kept_hourly
+ORACLES["r9_hourly_fire_kept"] = ORACLES["a5_hourly_fire_risk"]
+
+
+def bucket_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3, R8 through a bucketed table: the batch rewrites only the buckets of its keys."""
+    gauges = view(spark, sf_dir, "water_gauges").select("site_no", "site_name", "flow_cfs", "condition")
+    known = gauges.where("site_no % 3 = 0").select("site_no", F.lit("changed").alias("site_name"), (F.col("flow_cfs") + 1).alias("flow_cfs"), F.lit("normal").alias("condition"))
+    new = gauges.where("site_no % 10 = 0").select((F.col("site_no") + 1_000_000).alias("site_no"), F.lit("new").alias("site_name"), "flow_cfs", F.lit("low").alias("condition"))
+    table = BucketTable(shared_dir(spark), ("site_no",))
+    table.upsert(gauges, 0, ["flow_cfs", "condition"])
+    table.upsert(known.unionByName(new), 1, ["flow_cfs", "condition"])
+    return table.read(spark)
+
+
+QUERIES["k3_bucket_upsert"] = bucket_upsert
+ORACLES["k3_bucket_upsert"] = ORACLES["k3_gauge_upsert"]
+
+
+def new_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions that arrive in two batches, of which the second repeats rows of the first; each is stored once."""
+    rows = view(spark, sf_dir, "positions").select("id", "asset_id", "time", F.lit(1).alias("batch_no"))
+    store = KeyedStore(shared_dir(spark), ("id",))
+    store.append(rows.where("id % 5 < 3"), 0)
+    store.append(rows.where("id % 5 > 1").withColumn("batch_no", F.lit(2)), 1)
+    return spark.read.parquet(store.path).groupBy("asset_id").agg(F.count("*").alias("n"), F.count_if(F.col("batch_no") == 2).alias("late"), F.sum("id").alias("ids"))
+
+
+QUERIES["k18_append_new"] = new_positions
+ORACLES["k18_append_new"] = positions_sql("WITH RECURSIVE q AS (SELECT * FROM positions) SELECT asset_id, count(*) AS n, count(*) FILTER (id % 5 > 2) AS late, sum(id)::bigint AS ids FROM q GROUP BY 1", "positions")

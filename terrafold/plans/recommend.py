@@ -49,15 +49,28 @@ def centred(value: Column, low: Column, high: Column) -> Column:
     return 1.0 - F.abs(value - (low + high) / 2.0) / (high - low)
 
 
+#: Sides of a cell: millimetres of rain and units of soil reaction.
+RAIN_BAND, PH_BAND = 100.0, 0.25
+
+
+def in_same_cell(places: DataFrame, species: DataFrame) -> DataFrame:
+    """Candidates of X5: a place is in one cell of zone, rain and soil reaction, a species in all that its ranges touch.
+
+    A species' rows grow with its ranges, not with the places; what a place meets is little more than what fits.
+    """
+    bands = lambda low, high, side: F.explode(F.sequence(F.floor(F.col(low) / side), F.floor(F.col(high) / side)))
+    cells = species.withColumnRenamed("id", "species_id").withColumn("zone", F.explode(F.sequence("zone_low", "zone_high"))).withColumn("_rain", bands("min_precip", "max_precip", RAIN_BAND)).withColumn("_ph", bands("min_ph", "max_ph", PH_BAND))
+    placed = places.withColumns({"_rain": F.floor(F.col("precip") / RAIN_BAND), "_ph": F.floor(F.col("ph") / PH_BAND)})
+    return placed.join(cells, ["zone", "_rain", "_ph"]).drop("_rain", "_ph")
+
+
 def suited(places: DataFrame, species: DataFrame) -> DataFrame:
     """Species whose zones, rain and soil reaction hold the place's, best first.
 
     The score is the mean of three positions within the species' ranges. Nitrogen fixers get 0.1 more where they are
-    less than a quarter of what fits. A species has few zones, so its rows by zone meet places in an equi-join; ties go
-    to the smallest id. A place or a species with a missing value is in no list.
+    less than a quarter of what fits. Ties go to the smallest id. A place or a species with a missing value is in no list.
     """
-    zones = species.withColumnRenamed("id", "species_id").withColumn("zone", F.explode(F.sequence("zone_low", "zone_high")))
-    fits = places.join(zones, "zone").where("precip BETWEEN min_precip AND max_precip AND ph BETWEEN min_ph AND max_ph")
+    fits = in_same_cell(places, species).where("precip BETWEEN min_precip AND max_precip AND ph BETWEEN min_ph AND max_ph")
     place = W.partitionBy("id")
     rare = F.sum(F.col("nitrogen_fixer").cast("int")).over(place) * 4 < F.count("*").over(place)
     parts = [centred(F.col(v), F.col(a), F.col(b)) for v, a, b in (("zone", "zone_low", "zone_high"), ("precip", "min_precip", "max_precip"), ("ph", "min_ph", "max_ph"))]

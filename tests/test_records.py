@@ -90,3 +90,86 @@ def test_wordings_and_badges(spark):
     edges = spark.createDataFrame([(60.0, 3.0, 20.0, 21), (30.0, 2.0, 40.0, 6), (29.0, 1.0, 41.0, 5), (None, None, None, 0)], "r double, d double, p double, n int")
     assert [r[0] for r in edges.select(F.concat_ws(" ", *(models.badges(*map(F.col, "rdpn"))[c] for c in ("risk", "drought", "streamflow", "fires")))).collect()] == [
         "High/red Severe/red Critically Low/red High/red", "Moderate/yellow Moderate/yellow Below Normal/yellow Elevated/yellow", "Low/green Normal/green Normal/green Normal/green", "Low/green Normal/green Normal/green Normal/green"]
+
+
+def test_candidates_are_few_more_than_fits(spark):
+    from terrafold.plans import recommend
+
+    rng = random.Random(12)
+    places = spark.createDataFrame([(k, rng.randrange(1, 14), rng.uniform(100, 1900), rng.uniform(4.5, 9)) for k in range(600)] + [(900, 3, None, 6.0)], "id int, zone int, precip double, ph double")
+    kinds = []
+    for k in range(400):
+        zone, rain, ph = rng.randrange(1, 12), rng.uniform(100, 1500), rng.uniform(4, 8)
+        kinds.append((k, zone, zone + rng.randrange(4), rain, rain + rng.uniform(50, 900), ph, ph + rng.uniform(0.1, 2), k % 6 == 0))
+    species = spark.createDataFrame([*kinds, (900, 1, 5, None, 900.0, 4.0, 8.0, False)], "id int, zone_low int, zone_high int, min_precip double, max_precip double, min_ph double, max_ph double, nitrogen_fixer boolean")
+    met = recommend.in_same_cell(places, species)
+    fits = met.where("precip BETWEEN min_precip AND max_precip AND ph BETWEEN min_ph AND max_ph")
+    want = {(p["id"], s[0]) for p in places.collect() if p["precip"] for s in kinds if s[1] <= p["zone"] <= s[2] and s[3] <= p["precip"] <= s[4] and s[5] <= p["ph"] <= s[6]}
+    assert {(r["id"], r["species_id"]) for r in fits.select("id", "species_id").collect()} == want
+    assert met.count() <= 2 * len(want) and met.count() < 0.25 * sum(s[1] <= p["zone"] <= s[2] for p in places.collect() for s in kinds)
+
+
+def test_december_is_beside_january(spark):
+    from terrafold.plans.profiles import seasonal_depth
+
+    rows = [(1, datetime.date(2020, 12, 5), 10.0), (1, datetime.date(2021, 1, 5), 20.0), (1, datetime.date(2021, 2, 5), None), (1, datetime.date(2022, 6, 1), 7.0)]
+    got = {r["month"]: (r["depth"], r["n"]) for r in seasonal_depth(spark.createDataFrame(rows, "well_id int, read_on date, depth double")).collect()}
+    assert got == {11: (10.0, 1), 12: (15.0, 2), 1: (15.0, 2), 2: (20.0, 1), 5: (7.0, 1), 6: (7.0, 1), 7: (7.0, 1)}
+
+
+def test_zone_messages(spark):
+    import json
+
+    from terrafold.plans.profiles import zone_messages
+
+    zones = spark.createDataFrame([(4, "keyline", 3, 9, -1.0, 2.0, 0.5, 3.0, 2.5, -0.2)], "zone_id long, strategy_type string, requests long, votes long, west double, south double, east double, north double, lat double, lon double")
+    r = zone_messages(zones, "2024-01-31T00:00:00Z").first()
+    assert r["channel"] == "zones" and json.loads(r["value"]) == {"event": "priority_zones_updated", "zone_id": 4, "strategy_type": "keyline", "requests": 3, "votes": 9, "bbox": [-1.0, 2.0, 0.5, 3.0], "lat": 2.5, "lon": -0.2, "timestamp": "2024-01-31T00:00:00Z"}
+
+
+def test_simplified_tracks_by_brute_force(spark, sf_dir):
+    """Of each asset's day the points that a plain recursion keeps."""
+    from terrafold.plans.views import view
+
+    def kept(points, lo, hi, eps):
+        (x0, y0), (x1, y1) = points[lo], points[hi]
+        dx, dy = x1 - x0, y1 - y0
+
+        def away(k):
+            x, y = points[k]
+            u = 0.0 if dx == dy == 0 else max(0.0, min(1.0, ((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy)))
+            return np.hypot(x - x0 - u * dx, y - y0 - u * dy)
+
+        far = max(range(lo + 1, hi), key=lambda k: (away(k), -k), default=None)
+        if far is None or away(far) <= eps:
+            return {lo, hi}
+        return kept(points, lo, far, eps) | kept(points, far, hi, eps)
+
+    days = {}
+    for r in view(spark, sf_dir, "positions").orderBy("time", "id").collect():
+        days.setdefault((r["asset_id"], r["time"].date()), []).append(r)
+    want = {rows[k]["id"] for rows in days.values() for k in (kept([(r["lon"], r["lat"]) for r in rows], 0, len(rows) - 1, 0.05) if len(rows) > 1 else {0})}
+    assert {r["id"] for r in QUERIES["g10_simplified_tracks"](spark, sf_dir).collect()} == want
+
+
+def test_hulls_of_clusters_by_brute_force(spark, sf_dir):
+    """Every corner of a hull is a point of the cluster, every point is inside, and the ring turns one way."""
+    import json
+
+    from terrafold.operators import spatial
+    from terrafold.plans.views import view
+
+    rows = view(spark, sf_dir, "strategy_requests").where("status <> 'completed'").select("id", "strategy_type", "lat", "lon")
+    members = {}
+    for r in spatial.dbscan(rows, part="strategy_type", eps=0.05, min_points=3).collect():
+        members.setdefault(r["cluster"], []).append((r["lon"], r["lat"]))
+    got = QUERIES["a22_cluster_rollup"](spark, sf_dir).collect()
+    assert {r["cluster"]: r["requests"] for r in got} == {c: len(p) for c, p in members.items()}
+    for r in got:
+        ring, points = [(p["lon"], p["lat"]) for p in json.loads(r["ring"])], members[r["cluster"]]
+        assert set(ring) <= set(points)
+        if r["kind"] == "Polygon":
+            turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+            assert ring[0] == ring[-1] and all(turn(a, b, p) >= -1e-12 for a, b in zip(ring, ring[1:], strict=False) for p in points)
+        else:
+            assert len(ring) == min(2, len(set(points)))

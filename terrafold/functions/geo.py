@@ -49,20 +49,26 @@ def line_length_m(points: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
 
 
+def _text(x: Column, digits: int, unit: str) -> Column:
+    """A number with so many decimals, halves rounded upward, and its unit."""
+    scale = 10.0**digits
+    return F.format_string(f"%.{digits}f {unit}", F.floor(x * scale + 0.5) / scale)
+
+
 def format_distance(m: Column, unit: str = "metric") -> Column:
-    """Text of a distance; metres below a kilometre, feet below a tenth of a mile."""
+    """Text of a distance; metres below a kilometre, feet below a mile."""
     if unit == "imperial":
-        miles = m / 1609.344
-        return F.when(miles >= 0.1, F.format_string("%.2f mi", miles)).otherwise(F.format_string("%.0f ft", m * 3.28084))
-    return F.when(m >= 1000, F.format_string("%.2f km", m / 1000)).otherwise(F.format_string("%.0f m", m))
+        feet = m * 3.28084
+        return F.when(feet < 5280, _text(feet, 0, "ft")).otherwise(_text(feet / 5280, 2, "mi"))
+    return F.when(m < 1000, _text(m, 0, "m")).otherwise(_text(m / 1000, 2, "km"))
 
 
 def format_area(m2: Column, unit: str = "metric") -> Column:
     """Text of an area; m² below a hectare, ft² below an acre."""
     if unit == "imperial":
-        acres = m2 / 4046.8564224
-        return F.when(acres >= 1, F.format_string("%.2f ac", acres)).otherwise(F.format_string("%.0f ft²", m2 * 10.7639))
-    return F.when(m2 >= 10000, F.format_string("%.2f ha", m2 / 10000)).otherwise(F.format_string("%.0f m²", m2))
+        acres = m2 / 4046.86
+        return F.when(acres >= 1, _text(acres, 2, "ac")).otherwise(_text(m2 * 10.7639, 0, "ft²"))
+    return F.when(m2 >= 10000, _text(m2 / 10000, 2, "ha")).otherwise(_text(m2, 0, "m²"))
 
 
 def in_rings(lat: Column, lon: Column, rings: Column) -> Column:

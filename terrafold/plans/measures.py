@@ -33,16 +33,24 @@ def box_area(boxes: DataFrame) -> DataFrame:
     return boxes.select("id", half_up(geo.ring_area_m2(ring_of_box()) / 1e6, 3).alias("km2"))
 
 
-@query("g6_formats", "probes", sql="select id, case when metres >= 1000 then printf('%.2f km', floor(metres / 10) / 100) else printf('%.0f m', floor(metres / 10) * 10) end as distance, case when metres / 1609.344::double >= 0.1 then printf('%.1f', floor(metres / 1609.344::double * 10) / 10) else 'short' end as miles from probes")
+def text_sql(x: str, digits: int, unit: str) -> str:
+    return f"printf('%.{digits}f {unit}', {up(x, digits)})"
+
+
+@query("g6_formats", "probes", sql=f"""
+select id, case when m < 1000 then {text_sql("m", 0, "m")} else {text_sql("m / 1000", 2, "km")} end as metric, case when feet < 5280 then {text_sql("feet", 0, "ft")} else {text_sql("feet / 5280", 2, "mi")} end as imperial
+from (select id, metres / 7 as m, metres / 7 * 3.28084::double as feet from probes)""")
 def formats(probes: DataFrame) -> DataFrame:
-    """G6; tens of metres and the tenth of a mile below, since the two engines' formats round halves differently."""
-    miles = F.col("metres") / 1609.344
-    return probes.select("id", geo.format_distance(F.floor(F.col("metres") / 10) * 10.0).alias("distance"), F.when(miles >= 0.1, F.format_string("%.1f", F.floor(miles * 10) / 10)).otherwise("short").alias("miles"))
+    """G6 in both units, over sevenths of a metre."""
+    return probes.select("id", *(geo.format_distance(F.col("metres") / 7, unit).alias(unit) for unit in ("metric", "imperial")))
 
 
-@query("g7_area_formats", "probes", sql="select id, case when metres >= 10000 then printf('%.2f ha', metres / 10000) else printf('%.0f m²', metres) end as area from probes where metres % 100 = 0")
+@query("g7_area_formats", "probes", sql=f"""
+select id, case when a >= 10000 then {text_sql("a / 10000", 2, "ha")} else {text_sql("a", 0, "m²")} end as metric, case when a / 4046.86::double >= 1 then {text_sql("a / 4046.86::double", 2, "ac")} else {text_sql("a * 10.7639::double", 0, "ft²")} end as imperial
+from (select id, metres / 7 as a from probes)""")
 def area_formats(probes: DataFrame) -> DataFrame:
-    return probes.where("metres % 100 = 0").select("id", geo.format_area(F.col("metres")).alias("area"))
+    """G7 in both units, over sevenths of a square metre."""
+    return probes.select("id", *(geo.format_area(F.col("metres") / 7, unit).alias(unit) for unit in ("metric", "imperial")))
 
 
 @query("g12_ring_bounds", "boxes", sql="select id, west, south, east, north, (west * 2 + east * 2 + west) / 5 as lon, (south * 3 + north * 2) / 5 as lat from boxes")

@@ -23,10 +23,18 @@ VIEWS |= {
 #: Species of a place's list and companions of a species, both part of what is asked for.
 LISTED, COMPANIONS = 20, 3
 
+#: DuckDB: the type of a record.
 RECORD_TYPE = """CASE WHEN osm_value IN ('house', 'apartments', 'residential') THEN 'house' WHEN osm_key = 'highway' THEN 'street'
 WHEN osm_value IN ('city', 'town', 'village', 'hamlet', 'municipality') THEN 'city' WHEN osm_key = 'place' AND osm_value IN ('state', 'country') THEN osm_value ELSE 'other' END"""
 
 
+def record_type(key: Column, value: Column) -> Column:
+    """House, street, city, state, country or other; a house goes before a street, a settlement before a region."""
+    region = F.when(key == "place", F.when(value.isin("state", "country"), value))
+    settled = value.isin("city", "town", "village", "hamlet", "municipality")
+    return F.when(value.isin("house", "apartments", "residential"), "house").when(key == "highway", "street").when(settled, "city").otherwise(F.coalesce(region, F.lit("other")))
+
+
 @query("d34_geocode_records", "geocode_records", sql=f"""
 with p as (select *, case when street <> '' and housenumber <> '' then street || ' ' || housenumber when street <> '' then street when housenumber <> '' then housenumber end as line from geocode_records)
 select id, {RECORD_TYPE} as type, case when name <> '' then name when street <> '' then street else 'Unknown' end as name,
@@ -39,7 +47,7 @@ def geocode_records(records: DataFrame) -> DataFrame:
     others = [F.nullif(part, F.col("name")) for part in (street, *map(given, ("city", "state", "country")))]
     line = F.concat_ws(", ", given("name"), *others)
     return records.select(
-        "id", F.expr(RECORD_TYPE).alias("type"), F.coalesce(given("name"), given("street"), F.lit("Unknown")).alias("name"),
+        "id", record_type(F.col("osm_key"), F.col("osm_value")).alias("type"), F.coalesce(given("name"), given("street"), F.lit("Unknown")).alias("name"),
         F.coalesce(F.nullif(line, F.lit("")), F.lit("Unknown location")).alias("display_name"),
     )
 

@@ -41,7 +41,7 @@ def test_rings(spark):
     assert value(spark, geo.rings_bbox(F.array(ring))).asDict() == {"west": 0, "south": 0, "east": 1, "north": 1}
 
 
-@pytest.mark.parametrize("m, unit, text", [(1000.0, "metric", "1.00 km"), (500.0, "metric", "500 m"), (0.0, "metric", "0 m"), (1609.344, "imperial", "1.00 mi")])
+@pytest.mark.parametrize("m, unit, text", [(1000.0, "metric", "1.00 km"), (500.0, "metric", "500 m"), (0.0, "metric", "0 m"), (1609.344, "imperial", "1.00 mi"), (1609.0, "imperial", "5279 ft"), (100.0, "imperial", "328 ft"), (999.6, "metric", "1000 m")])
 def test_formats(spark, m, unit, text):
     assert value(spark, geo.format_distance(F.lit(m), unit)) == text
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,9 +34,10 @@ def normalised(text: str) -> bytes:
     return f" {kept} ".encode() if any(c.isalpha() for c in kept) else b""
 
 
-def parameters() -> zstandard.ZstdCompressionParameters:
+def parameters(content: bytes) -> zstandard.ZstdCompressionParameters:
+    """A window that holds the dictionary ``content`` and a part of a text."""
     return zstandard.ZstdCompressionParameters(
-        window_log=19, hash_log=17, chain_log=17, search_log=2, min_match=3, target_length=16,
+        window_log=min(27, max(19, (len(content) + PART_BYTES - 1).bit_length())), hash_log=17, chain_log=17, search_log=2, min_match=3, target_length=16,
         strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False,
     )
 
@@ -52,38 +53,27 @@ class LanguageModel:
         made = []
         for lang, content in self.dictionaries:
             dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            dictionary.precompute_compress(compression_params=parameters())
-            made.append((lang, zstandard.ZstdCompressor(compression_params=parameters(), dict_data=dictionary)))
+            dictionary.precompute_compress(compression_params=parameters(content))
+            made.append((lang, zstandard.ZstdCompressor(compression_params=parameters(content), dict_data=dictionary)))
         return made
 
 
-def spread_pieces(text: Column, chars: int, pieces: int = 8) -> Column:
-    """At most ``chars`` characters: the whole text, or equally long pieces from its start to its end."""
-    one = chars // pieces
-    n = F.length(text)
-    cut = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: F.substr(text, F.floor(k * (n - one) / (pieces - 1)).cast("int") + 1, F.lit(one)))
-    return F.when(n <= chars, text).otherwise(F.array_join(cut, " "))
-
-
 def fit(
-    train: DataFrame, *, text: str = "text", lang: str = "lang", margin: float = 0.02,
-    sample_docs: int = 200, sample_chars: int = 1200, total_chars: int = 1 << 25,
+    train: DataFrame, *, text: str = "text", lang: str = "lang", margin: float = 0.02, sample_docs: int = 60,
 ) -> LanguageModel:
-    """Learn from a bounded sample: per language the ``sample_docs`` distinct texts with the smallest hash, ``sample_chars`` characters spread over the whole of each.
+    """Learn from a bounded sample: per language the whole of the ``sample_docs`` distinct texts with the smallest hash.
 
-    The counts by language cover all rows, and every language gets a dictionary: with so many languages that these
-    would have more than ``total_chars`` characters together, each learns from fewer texts (4 at least). ``margin``: a
+    The counts by language cover all rows, and every language gets a dictionary; a task holds all of them. ``margin``: a
     text is rejected when the runner-up's size is not larger by this share.
     """
     rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text rlike '\\\\p{L}'").withColumn("h", F.xxhash64("text"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("count"), "lang").collect()  # a row for each language
     if not counts:
         return LanguageModel((), margin)
-    sample_docs = max(4, min(sample_docs, total_chars // (sample_chars * len(counts))))
     # A uniform hash below this bound leaves about twice the sample of each language before the exact pick.
     shares = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * sample_docs / max(1, r["texts"]))))])
     uniform = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = rows.where(uniform <= F.try_element_at(shares, F.col("lang"))).select("lang", "h", spread_pieces(F.col("text"), sample_chars).alias("text")).dropDuplicates(["lang", "h"])
+    few = rows.where(uniform <= F.try_element_at(shares, F.col("lang"))).select("lang", "h", "text").dropDuplicates(["lang", "h"])
     best = few.withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(f"rn <= {sample_docs}")
     found: dict[str, list[bytes]] = {}
     for r in best.orderBy("lang", "rn").collect():

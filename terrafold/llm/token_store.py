@@ -2,13 +2,14 @@
 
 Documents are range-partitioned and sorted by doc_id, each task encodes its range with the tokenizers library and
 writes segments. A segment row holds ``part`` (place of the range in the order), ``start_in_part`` (ids of the
-range before it), the ids as fixed-width little-endian integers (2 bytes if the vocabulary allows, else 4), the
-doc_ids, and the ends of its documents as an Elias-Fano list with a select structure. The only table of 64-bit
-offsets has one number for each range, not for each document.
-
-Rules for odd input: null text counts as empty (just the end id); null doc_ids come first; equal doc_ids are
-ordered by the hash of their text; repeated rows are each stored; an empty table gives an empty store; other
-columns are not stored.
+range before it), the ids as fixed-width little-endian integers (2 bytes if the vocabulary allows, else 4), and two
+Elias-Fano lists with select structures: the ends of its documents, and their doc_ids less the first. The only table
+of 64-bit offsets has one number for each range, not for each document. ``find`` looks single documents up: the first
+and last doc_id of the segments, which the reader prunes by, then select on the two lists.
+
+Rules for odd input: doc_id must be an integer column; null text counts as empty (just the end id); null doc_ids come
+first, in segments of their own; equal doc_ids are ordered by the hash of their text; repeated rows are each stored; an
+empty table gives an empty store; other columns are not stored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import pieces, texts
+from terrafold.llm.common import integer_ids, pieces, texts
 from terrafold.llm.pretoken import Vocabulary, byte_characters, cut, take_ragged
 
 #: One position is kept for so many documents; the rest of a select is a scan of at most that many ones.
@@ -32,7 +33,7 @@ SAMPLE = 128
 
 @dataclass(frozen=True)
 class EliasFano:
-    """A non-decreasing list of ``size`` numbers below 2**32: low bits packed, high bits in unary, sampled positions for select."""
+    """A non-decreasing list of ``size`` numbers below 2**62, fewer than 2**30: low bits packed, high bits in unary, sampled positions for select."""
 
     size: int
     low_bits: int
@@ -76,6 +77,17 @@ class EliasFano:
         lows = np.unpackbits(np.frombuffer(self.low, np.uint8), count=self.size * self.low_bits, bitorder="little").reshape(self.size, self.low_bits)
         return (high << self.low_bits) + lows.astype(np.int64) @ (1 << np.arange(self.low_bits))
 
+    def first_at_least(self, value: int) -> int:
+        """Place of the first number that isn't smaller, by bisection with select; ``size`` if all are."""
+        lo, hi = 0, self.size
+        while lo < hi:
+            middle = (lo + hi) // 2
+            if self.select(middle) < value:
+                lo = middle + 1
+            else:
+                hi = middle
+        return lo
+
     def bytes_used(self) -> int:
         return len(self.low) + len(self.high) + len(self.samples)
 
@@ -120,7 +132,25 @@ def encoder_of(vocabulary: Vocabulary) -> LibraryEncoder:
     return _ENCODERS[vocabulary.text]
 
 
-SEGMENTS = "part long, start_in_part long, width int, n_docs long, n_ids long, doc_ids array<long>, low_bits int, low binary, high binary, samples binary, ids binary"
+LIST = ("low_bits int", "low binary", "high binary", "samples binary")
+SEGMENTS = "part long, start_in_part long, width int, n_docs long, n_ids long, first_doc long, last_doc long, " + ", ".join([*LIST, *(f"doc_{c}" for c in LIST)]) + ", ids binary"
+KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+#: Documents of a segment are nearer to the first than this.
+MAX_SPAN = 1 << 62
+
+
+def _list(row: dict, prefix: str = "") -> EliasFano:
+    return EliasFano(row["n_docs"], *(row[f"{prefix}{c.split()[0]}"] for c in LIST))
+
+
+def runs(doc_ids: list) -> Iterator[tuple[int, int]]:
+    """Ranges of documents that a segment can hold together: all without a doc_id, or all near enough to the first."""
+    lo = 0
+    for hi in range(1, len(doc_ids) + 1):
+        first, x = doc_ids[lo], doc_ids[hi] if hi < len(doc_ids) else None
+        if hi == len(doc_ids) or (first is None) != (x is None) or (x is not None and x - first >= MAX_SPAN):
+            yield lo, hi
+            lo = hi
 
 
 def write(docs: DataFrame, path: str, vocabulary_path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, segment_ids: int = 1 << 20) -> None:
@@ -128,23 +158,26 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, *, doc_id: str = "do
     vocabulary = Vocabulary.load(vocabulary_path)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary.text)  # as large as the vocabulary
     width = 2 if max([end_id, *vocabulary.spec["model"]["vocab"].values(), *vocabulary.added.values()]) < 1 << 16 else 4
+    fields = [x.split() for x in SEGMENTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = encoder_of(Vocabulary(shared.value)), TaskContext.get().partitionId(), 0
         for table in pieces(batches):
             offsets, ids = encoder.encode(texts(table), end_id)
-            lo = 0
-            while lo < table.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + segment_ids, "right")) - 1)
-                ends = EliasFano.of(offsets[lo + 1 : hi + 1] - offsets[lo])
-                n = int(offsets[hi] - offsets[lo])
-                row = (part, start, width, hi - lo, n, table.column("doc_id").slice(lo, hi - lo).to_pylist(), ends.low_bits, ends.low, ends.high, ends.samples, ids[offsets[lo] : offsets[hi]].astype(f"<u{width}").tobytes())
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), *[pa.binary()] * 4)
-                names = [x.split()[0] for x in SEGMENTS.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
-                lo, start = hi, start + n
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+            doc_ids = table.column("doc_id").to_pylist()
+            for lo, end in runs(doc_ids):
+                while lo < end:
+                    hi = min(end, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + segment_ids, "right")) - 1))
+                    ends = EliasFano.of(offsets[lo + 1 : hi + 1] - offsets[lo])
+                    known = doc_ids[lo] is not None
+                    own = EliasFano.of(np.array(doc_ids[lo:hi], np.int64) - doc_ids[lo]) if known else EliasFano.of(np.zeros(0, np.int64))
+                    n = int(offsets[hi] - offsets[lo])
+                    lists = [x for e in (ends, own) for x in (e.low_bits, e.low, e.high, e.samples)]
+                    row = (part, start, width, hi - lo, n, doc_ids[lo], doc_ids[hi - 1], *lists, ids[offsets[lo] : offsets[hi]].astype(f"<u{width}").tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([v], KINDS[kind]) for v, (_, kind) in zip(row, fields, strict=True)], names=[c for c, _ in fields])
+                    lo, start = hi, start + n
+
+    rows = docs.select(integer_ids(docs, doc_id).alias("doc_id"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(run, SEGMENTS).write.parquet(f"{path}/segments")
     spark = docs.sparkSession
@@ -165,13 +198,44 @@ def read(spark: SparkSession, path: str, *, with_ids: bool = False, max_parts: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ends = EliasFano(r["n_docs"], r["low_bits"], r["low"], r["high"], r["samples"]).all()
+                ends = _list(r).all()
+                own = [None] * r["n_docs"] if r["first_doc"] is None else _list(r, "doc_").all() + r["first_doc"]
                 first = np.concatenate([[0], ends[:-1]])
                 ids = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4")
                 each = [ids[a:b] for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
                 values = pa.array([x.tolist() for x in each], pa.list_(pa.int64())) if with_ids else pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())
-                columns = [pa.array(r["doc_ids"], pa.int64()), pa.array(first + r["start"] + r["start_in_part"], pa.int64()), pa.array(ends - first, pa.int64()), values]
+                columns = [pa.array(own, pa.int64()), pa.array(first + r["start"] + r["start_in_part"], pa.int64()), pa.array(ends - first, pa.int64()), values]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", last.split()[0]])
 
     segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments")
     return segments.join(parts, "part").mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
+
+
+def find(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """``doc_id``, ``start``, ``n_tokens`` and ``ids`` of the named documents (a short list), each as often as it is stored.
+
+    Only segments whose range of doc_ids holds one of them are read; in these, select gives the place of the document and
+    its ends, and nothing else is unpacked.
+    """
+    wanted = sorted(set(doc_ids))
+    near = F.exists(F.array(*map(F.lit, wanted)), lambda x: x.between(F.col("first_doc"), F.col("last_doc"))) if wanted else F.lit(False)
+    low, high = (wanted[0], wanted[-1]) if wanted else (0, 0)
+    segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments").where((F.col("last_doc") >= low) & (F.col("first_doc") <= high) & near)
+    parts = spark.read.schema("part long, start long").parquet(f"{path}/parts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ends, own, out = _list(r), _list(r, "doc_"), []
+                for x in wanted:
+                    k = own.first_at_least(x - r["first_doc"]) if r["first_doc"] <= x <= r["last_doc"] else own.size
+                    while k < own.size and own.select(k) == x - r["first_doc"]:
+                        a, b = ends.select(k - 1) if k else 0, ends.select(k)
+                        ids = np.frombuffer(r["ids"], f"<u{r['width']}", b - a, a * r["width"])
+                        out.append((x, a + r["start"] + r["start_in_part"], b - a, ids.astype(np.int64).tolist()))
+                        k += 1
+                if out:
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["doc_id", "start", "n_tokens", "ids"])
+
+    return segments.join(parts, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<long>")

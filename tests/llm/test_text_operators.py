@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from terrafold.llm import divergence, hmm_lm, language_id, line_crf, spec_bpe, token_store
 from terrafold.llm.common import pieces, words
@@ -202,6 +203,23 @@ def test_token_store(spark, odd, empty, tmp_path):
     assert token_store.read(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_token_store_lookup(spark, tmp_path, monkeypatch):
+    """Single documents by select: spread, equal, negative and very distant doc_ids, and none that isn't there."""
+    ids = [None, -(2**63), -5, 3, 3, 3, *range(10, 400, 7), 2**62, 2**63 - 1]
+    docs = spark.createDataFrame([(d, f"text {k} " * (k % 9), "x") for k, d in enumerate(ids)], SCHEMA)
+    token_store.write(docs, f"{tmp_path}/s", vocabulary_path(), segment_ids=100)
+    whole = [tuple(r) for r in token_store.read(spark, f"{tmp_path}/s", with_ids=True).select("doc_id", "start", "n_tokens", "ids").collect()]
+    assert sorted((x[0] for x in whole), key=lambda d: (d is not None, d)) == sorted(ids, key=lambda d: (d is not None, d))
+    monkeypatch.setattr(token_store.EliasFano, "all", lambda self: 1 / 0)
+    wanted = [3, -(2**63), 2**62, 24, 25, 10**9, 2**63 - 1]
+    got = sorted(map(tuple, token_store.find(spark, f"{tmp_path}/s", wanted).select("doc_id", "start", "n_tokens", "ids").collect()))
+    assert got == sorted(x for x in whole if x[0] in wanted) and len(got) == 7
+    assert token_store.find(spark, f"{tmp_path}/s", []).count() == 0
+    assert max(len(r["doc_low"]) + len(r["doc_high"]) + len(r["doc_samples"]) for r in spark.read.parquet(f"{tmp_path}/s/segments").collect()) < 200
+    with pytest.raises(TypeError):
+        token_store.write(docs.withColumn("doc_id", F.col("doc_id").cast("string")), f"{tmp_path}/t", vocabulary_path())
+
+
 def test_quality_scores_on_held_out_labels(spark):
     from terrafold.llm.queries import op4_line_crf
 
@@ -238,7 +256,7 @@ def test_encoding_queries_equal_the_library_on_whole_tables(spark, sf_dir):
 def test_many_languages(spark):
     rows = [(k, f"word{k} of tongue{k} " * 30, f"l{k}") for k in range(80)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    assert len(language_id.fit(docs, total_chars=50_000).dictionaries) == 80
+    assert len(language_id.fit(docs).dictionaries) == 80
     assert len(divergence.learn(docs).languages) == 80
     parts = "a b " * 200_000  # longer than the window of a dictionary
     assert 0 < language_id.judged(parts, language_id.fit(docs).compressors()[:2], 0.02)[1] <= 1

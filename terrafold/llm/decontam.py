@@ -15,6 +15,7 @@ columns are not used. An empty benchmark leaves every document clean.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrafold.llm.common import materialize
@@ -22,8 +23,8 @@ from terrafold.llm.common import materialize
 #: Between words: every ASCII character but digits and letters (other code points belong to words).
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Benchmark shingles up to this many are broadcast; more are joined by a shuffle.
-MAX_BROADCAST = 2_000_000
+#: Tables of benchmark shingles up to so many bytes are broadcast; larger ones are joined by a shuffle.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def word_array(text: Column) -> Column:
@@ -35,11 +36,11 @@ def word_array(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, *, item_id: str = "item_id", text: str = "text", window: int = 10) -> DataFrame:
-    """``window`` (its words, joined by blanks), ``len`` and ``items`` of each distinct window."""
+    """``window`` (its words, joined by blanks), ``len`` and ``item``: each window of each item once."""
     items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), word_array(F.col(text)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
     each = items.select("item", "w", F.explode(starts).alias("at")).select("item", F.slice("w", F.col("at"), F.lit(window)).alias("w"))
-    return each.groupBy(F.concat_ws(" ", "w").alias("window"), F.size("w").alias("len")).agg(F.collect_set("item").alias("items"))
+    return each.select(F.concat_ws(" ", "w").alias("window"), F.size("w").alias("len"), "item").distinct()
 
 
 def window_shingles(windows: DataFrame) -> DataFrame:
@@ -51,57 +52,68 @@ def window_shingles(windows: DataFrame) -> DataFrame:
     return windows.select("window", "len", all_bits.alias("all_bits"), F.posexplode(parts).alias("offset", "shingle"))
 
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MAX_BROADCAST else df
+def sized(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= MAX_BROADCAST_BYTES else df
 
 
-def shingle_places(docs: DataFrame, shingles: DataFrame, rows: int, singles: bool, *, doc_id: str, text: str) -> DataFrame:
+def shingle_places(docs: DataFrame, shingles: DataFrame, size: int, singles: bool, *, doc_id: str, text: str) -> DataFrame:
     """A row with pos 0 for each document, and a row for each place (from 1) that holds a benchmark shingle.
 
-    ``k1`` and ``k2`` identify a document's id and text together; ``n_words`` is on every row.
+    ``k1`` and ``k2`` identify a document's id and text together; ``n_words`` is on every row. A place takes its own two
+    words along to the join, not its document.
     """
-    rows_ = docs.select(
+    rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(F.col(text), F.lit("\1"), F.col(doc_id)).alias("k2"), word_array(F.col(text)).alias("w")
     )
-    last_single = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.xxhash64(a, F.lit(" "), b))
-    pairs = F.slice(last_single, F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))
-    tokens = F.concat(pairs, F.transform("w", lambda a: F.xxhash64(a))) if singles else pairs
-    every = rows_.select("doc_id", "k1", "k2", "w", F.size("w").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(None).cast("long")), tokens)).alias("at", "h"))
-    hashes = sized(shingles.select(F.when(F.instr("shingle", " ") > 0, F.xxhash64(F.substring_index("shingle", " ", 1), F.lit(" "), F.substring_index("shingle", " ", -1))).otherwise(F.xxhash64("shingle")).alias("key")).distinct(), rows)
-    met = every.join(hashes, F.col("h") == F.col("key"), "left").where("at = 0 or key is not null")
-    single = F.col("at") > F.greatest(F.col("n_words") - 1, F.lit(0))
-    pos = F.when(F.col("at") == 0, 0).when(single, F.col("at") - F.greatest(F.col("n_words") - 1, F.lit(0))).otherwise(F.col("at"))
-    said = F.when(F.col("at") == 0, None).when(single, F.get("w", pos - 1)).otherwise(F.concat_ws(" ", F.get("w", pos - 1), F.get("w", pos)))
+    none = F.lit(None).cast("string")
+    both = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    n = F.size("w")
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(n, F.lit(1))), both)
+    tokens = F.concat(pairs, F.transform("w", lambda a: both(a, none))) if singles else pairs
+    every = rows.select("doc_id", "k1", "k2", n.alias("n_words"), F.posexplode(F.concat(F.array(both(none, none)), tokens)).alias("at", "t"))
+    a, b = F.col("t.a"), F.col("t.b")
+    every = every.withColumn("h", F.when(F.col("at") == 0, None).when(b.isNull(), F.xxhash64(a)).otherwise(F.xxhash64(a, F.lit(" "), b)))
+    key = F.when(F.instr("shingle", " ") > 0, F.xxhash64(F.substring_index("shingle", " ", 1), F.lit(" "), F.substring_index("shingle", " ", -1))).otherwise(F.xxhash64("shingle"))
+    met = every.join(sized(shingles.select(key.alias("key")).distinct(), size), F.col("h") == F.col("key"), "left").where("at = 0 or key is not null")
+    pos = F.when((F.col("at") > 0) & b.isNull(), F.col("at") - F.greatest(F.col("n_words") - 1, F.lit(0))).otherwise(F.col("at"))
+    said = F.when(F.col("at") > 0, F.concat_ws(" ", a, b))
     return met.select("doc_id", "k1", "k2", "n_words", pos.alias("pos"), said.alias("shingle"))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> tuple[DataFrame, DataFrame]:
-    """All documents (``doc_id, k1, k2, n_words``) and the occurrences of windows in them (``k1, k2, start, len, window, items``)."""
-    windows = materialize(benchmark_windows(benchmark, item_id=item_id, text=item_text, window=window))
-    shingles = materialize(window_shingles(windows))
-    size = shingles.agg(F.count("*"), F.count_if(F.col("len") == 1)).first()
-    places = materialize(shingle_places(docs, shingles, size[0], size[1] > 0, doc_id=doc_id, text=text))
+def find(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents (``doc_id, k1, k2, n_words``), the occurrences of windows in them (``k1, k2, start, len, window``), and the ``item`` of each ``window``."""
+    items = materialize(benchmark_windows(benchmark, item_id=item_id, text=item_text, window=window))
+    shingles = materialize(window_shingles(items.select("window", "len").distinct()))
+    seen = shingles.agg(F.sum(F.octet_length("window") + F.octet_length("shingle") + 64), F.count_if(F.col("len") == 1)).first()
+    size = seen[0] or 0
+    places = materialize(shingle_places(docs, shingles, size, seen[1] > 0, doc_id=doc_id, text=text))
     hits = places.where("pos > 0")
     counts = hits.groupBy("shingle").agg(F.count("*").alias("n"))
-    rarity = shingles.join(sized(counts, size[0]), "shingle", "left")
+    rarity = shingles.join(sized(counts, size), "shingle", "left")
     prefix = rarity.groupBy("window", "len", "all_bits").agg(F.min_by(F.struct("shingle", "offset"), F.struct(F.coalesce("n", F.lit(0)), "shingle", "offset")).alias("p"), F.min(F.coalesce("n", F.lit(0))).alias("least")).where("least > 0")
     prefix = prefix.select("window", "len", "all_bits", "p.shingle", "p.offset")
-    found = hits.join(sized(prefix, size[0]), "shingle").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 1 and start + len - 1 <= n_words")
+    found = hits.join(sized(prefix, size), "shingle").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 1 and start + len - 1 <= n_words")
     found = found.select("k1", "k2", "start", "window", "len", "all_bits")
-    wanted = found.join(sized(shingles.select("window", "offset", "shingle"), size[0]), "window").withColumn("pos", F.col("start") + F.col("offset"))
+    wanted = found.join(sized(shingles.select("window", "offset", "shingle"), size), "window").withColumn("pos", F.col("start") + F.col("offset"))
     there = wanted.join(hits.select("k1", "k2", "pos", "shingle"), ["k1", "k2", "pos", "shingle"])
     proven = there.groupBy("k1", "k2", "start", "window", "len", "all_bits").agg(F.expr("bit_or(shiftleft(1L, offset))").alias("bits")).where("bits = all_bits")
-    spans = proven.join(sized(windows.select("window", "items"), size[0]), "window").select("k1", "k2", "start", "len", "window", "items")
-    return places.where("pos = 0").select("doc_id", "k1", "k2", "n_words"), spans
+    return places.where("pos = 0").select("doc_id", "k1", "k2", "n_words"), proven.select("k1", "k2", "start", "len", "window"), items.select("window", "item")
+
+
+def hit_words(spans: DataFrame) -> DataFrame:
+    """``k1``, ``k2`` and ``n_hit``, the words inside any span: each span adds what reaches beyond all before it in its document."""
+    order = W.partitionBy("k1", "k2").orderBy("start", "len")
+    before = F.max(F.col("start") + F.col("len")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    more = F.col("start") + F.col("len") - F.greatest(F.coalesce("before", F.lit(0)), F.col("start"))
+    ends = spans.groupBy("k1", "k2", "start").agg(F.max("len").alias("len")).withColumn("before", before)
+    return ends.groupBy("k1", "k2").agg(F.sum(F.greatest(more, F.lit(0))).alias("n_hit"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     """Per document: ``doc_id``, ``n_words``, ``n_hit`` (words inside occurrences), ``items`` (sorted as strings), ``contaminated``."""
-    all_docs, spans = find(docs, benchmark, **names)
-    by_doc = spans.groupBy("k1", "k2").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1))))).alias("n_hit"),
-        F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("items"))), lambda x: x.cast("string"))).alias("items"),
-    )
-    joined = all_docs.join(by_doc, ["k1", "k2"], "left")
+    all_docs, spans, items = find(docs, benchmark, **names)
+    spans = materialize(spans)
+    held = spans.select("k1", "k2", "window").distinct().join(items, "window").groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    joined = all_docs.join(hit_words(spans), ["k1", "k2"], "left").join(held, ["k1", "k2"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return joined.select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"), "k1", "k2")

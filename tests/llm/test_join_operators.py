@@ -74,7 +74,10 @@ def windows_hit(doc, items, n=10):
     return len(w), len(hit), sorted(map(str, found))
 
 
-def test_decontamination_by_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_by_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:  # as with a benchmark too large for that
+        monkeypatch.setattr(decontam, "MAX_BROADCAST_BYTES", -1)
     item = "One two three four five six seven eight nine ten eleven twelve."
     items = [(1, item), (2, "Zebra"), (10, "short item"), (3, None), (4, "!!"), (None, "ghost"), (5, item), (6, "Été naïve Été")]
     texts = [item, "x " + item[:50], "a zebra, a ZEBRA!", "short  ITEM", "item short", None, "", "...", "one two three four five six seven eight nine ten " * 3, "Zebra", "été Naïve été", "Été naïve Été", item]

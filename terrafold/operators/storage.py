@@ -6,11 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders written since the innermost ``scratch`` began.
-_open: list[list[str]] = []
+#: Folders written since each ``scratch`` of this thread or task began, the innermost last.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open_scratch", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,8 +29,8 @@ def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; the result survives lost executors. ``keep``: also the end of ``scratch``."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    if _open and not keep:
-        _open[-1].append(path)
+    if _open.get() and not keep:
+        _open.get()[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,9 +55,11 @@ def remove(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete what ``materialize`` writes inside; results to be read later have ``keep`` or are written elsewhere."""
-    _open.append([])
+    mine: list[str] = []
+    before = _open.set((*_open.get(), mine))
     try:
         yield
     finally:
-        for path in _open.pop():
+        _open.reset(before)
+        for path in mine:
             remove(spark, path)

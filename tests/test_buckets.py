@@ -81,3 +81,34 @@ def test_changes_leave_other_buckets_alone(spark, tmp_path, monkeypatch):
     one.upsert(frame((1, "a", 1.0)), 0, ["v"])
     one.replay(spark.createDataFrame([(1, "a", 1.0, 1, "delete")], log.schema), 1, seq="seq", op="op")
     assert state(one, spark) == {} and one.live(spark) == {}
+
+
+def test_scratch_of_another_thread_keeps_its_hands_off(spark):
+    """A query that materialises while another thread has a scratch open keeps its table."""
+    import threading
+
+    from terrafold.operators.storage import materialize, scratch
+
+    kept, opened, written = [], threading.Event(), threading.Event()
+
+    def other():
+        with scratch(spark):
+            materialize(spark.range(3))
+            opened.set()
+            written.wait(60)
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    assert opened.wait(60)
+    kept.append(materialize(spark.range(5)))
+    written.set()
+    thread.join(60)
+    assert kept[0].count() == 5
+    with scratch(spark):
+        inner = materialize(spark.range(4))
+        with scratch(spark):
+            outer = materialize(spark.range(6), keep=True)
+        assert inner.count() == 4
+    assert outer.count() == 6
+    with pytest.raises(Exception):
+        inner.count()

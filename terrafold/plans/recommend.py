@@ -132,6 +132,8 @@ VIEWS |= {
 
 # Weights of the dimensions in hundredths, rain and stored water in mm that a practice needs.
 WEIGHTS = {"precip": 25, "temp": 20, "soil": 20, "slope": 10, "organic": 10, "water": 15}
+#: Practices of a row of the catalogue, and of a catalogue that is broadcast.
+CATALOGUE_PART, MAX_CATALOGUE = 256, 50_000
 WATER_NEED = {"low": 400.0, "medium": 700.0, "high": 1100.0}
 
 
@@ -151,10 +153,13 @@ def suitability(sites: DataFrame, practices: DataFrame) -> DataFrame:
     """Six weighted fits of every practice of a catalogue at every site.
 
     A missing value of the site counts 0.5 and lowers the confidence; a limit that a practice lacks is met. Limiting are
-    fits below 0.3. The catalogue becomes one row, so the sites are neither shuffled nor paired in a join.
+    fits below 0.3. The catalogue becomes rows of at most some hundred practices, which meet every site; if they are few
+    they are broadcast, so the sites aren't shuffled.
     """
-    catalogue = practices.agg(F.collect_list(F.struct(*practices.columns)).alias("catalogue"))
-    rows = sites.crossJoin(F.broadcast(catalogue)).select(*sites.columns, F.inline("catalogue"))
+    total = practices.count()
+    part = F.pmod(F.xxhash64(practices.columns[0]), F.lit(max(1, -(-total // CATALOGUE_PART))))
+    catalogue = practices.groupBy(part.alias("part")).agg(F.collect_list(F.struct(*practices.columns)).alias("catalogue")).drop("part")
+    rows = sites.crossJoin(F.broadcast(catalogue) if total <= MAX_CATALOGUE else catalogue).select(*sites.columns, F.inline("catalogue"))
     c, isnull = F.col, F.isnull
     flag = lambda test: F.when(test, 1.0).otherwise(0.0)
     listed = lambda names, value: F.array_contains(F.split(names, ","), c(value))

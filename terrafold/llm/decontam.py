@@ -59,25 +59,35 @@ def sized(df: DataFrame, size: int) -> DataFrame:
 def shingle_places(docs: DataFrame, shingles: DataFrame, size: int, singles: bool, *, doc_id: str, text: str) -> DataFrame:
     """A row with pos 0 for each document, and a row for each place (from 1) that holds a benchmark shingle.
 
-    ``k1`` and ``k2`` identify a document's id and text together; ``n_words`` is on every row. A place takes its own two
-    words along to the join, not its document.
+    ``k1`` and ``k2`` identify a document's id and text together; ``n_words`` is on every row. Where the shingles are
+    broadcast, places are looked up as hashes beside their document's words, and nothing is copied. Where they are joined,
+    a place takes its own two words along, not its document.
     """
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(F.col(text), F.lit("\1"), F.col(doc_id)).alias("k2"), word_array(F.col(text)).alias("w")
     )
-    none = F.lit(None).cast("string")
-    both = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     n = F.size("w")
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(n, F.lit(1))), both)
-    tokens = F.concat(pairs, F.transform("w", lambda a: both(a, none))) if singles else pairs
-    every = rows.select("doc_id", "k1", "k2", n.alias("n_words"), F.posexplode(F.concat(F.array(both(none, none)), tokens)).alias("at", "t"))
-    a, b = F.col("t.a"), F.col("t.b")
-    every = every.withColumn("h", F.when(F.col("at") == 0, None).when(b.isNull(), F.xxhash64(a)).otherwise(F.xxhash64(a, F.lit(" "), b)))
     key = F.when(F.instr("shingle", " ") > 0, F.xxhash64(F.substring_index("shingle", " ", 1), F.lit(" "), F.substring_index("shingle", " ", -1))).otherwise(F.xxhash64("shingle"))
-    met = every.join(sized(shingles.select(key.alias("key")).distinct(), size), F.col("h") == F.col("key"), "left").where("at = 0 or key is not null")
-    pos = F.when((F.col("at") > 0) & b.isNull(), F.col("at") - F.greatest(F.col("n_words") - 1, F.lit(0))).otherwise(F.col("at"))
-    said = F.when(F.col("at") > 0, F.concat_ws(" ", a, b))
-    return met.select("doc_id", "k1", "k2", "n_words", pos.alias("pos"), said.alias("shingle"))
+    hashes = sized(shingles.select(key.alias("key")).distinct(), size)
+    later = F.slice("w", F.lit(2), F.greatest(n, F.lit(1)))
+    alone = F.col("at") > F.greatest(F.col("n_words") - 1, F.lit(0))  # single words come behind all pairs
+    pos = F.when(alone, F.col("at") - F.greatest(F.col("n_words") - 1, F.lit(0))).otherwise(F.col("at"))
+    if size <= MAX_BROADCAST_BYTES:
+        pairs = F.slice(F.zip_with("w", later, lambda a, b: F.xxhash64(a, F.lit(" "), b)), F.lit(1), F.greatest(n - 1, F.lit(0)))
+        tokens = F.concat(pairs, F.transform("w", lambda a: F.xxhash64(a))) if singles else pairs
+        every = rows.select("doc_id", "k1", "k2", "w", n.alias("n_words"), F.posexplode(F.concat(F.array(F.lit(None).cast("long")), tokens)).alias("at", "h"))
+        said = F.when(alone, F.get("w", pos - 1)).otherwise(F.concat_ws(" ", F.get("w", pos - 1), F.get("w", pos)))
+    else:
+        none = F.lit(None).cast("string")
+        both = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+        pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(n - 1, F.lit(0))), later, both)
+        tokens = F.concat(pairs, F.transform("w", lambda a: both(a, none))) if singles else pairs
+        every = rows.select("doc_id", "k1", "k2", n.alias("n_words"), F.posexplode(F.concat(F.array(both(none, none)), tokens)).alias("at", "t"))
+        hashed = F.when(F.col("t.b").isNull(), F.xxhash64("t.a")).otherwise(F.xxhash64("t.a", F.lit(" "), "t.b"))
+        every = every.withColumn("h", F.when(F.col("at") > 0, hashed))
+        said = F.concat_ws(" ", "t.a", "t.b")
+    met = every.join(hashes, F.col("h") == F.col("key"), "left").where("at = 0 or key is not null")
+    return met.select("doc_id", "k1", "k2", "n_words", F.when(F.col("at") == 0, 0).otherwise(pos).alias("pos"), F.when(F.col("at") > 0, said).alias("shingle"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions import models
+from terrafold.operators import vectors
 from terrafold.operators.asof import as_of
 from terrafold.operators.vectors import VectorIndex, top_similar
 from terrafold.plans import QUERIES
@@ -173,3 +174,18 @@ def test_hulls_of_clusters_by_brute_force(spark, sf_dir):
             assert ring[0] == ring[-1] and all(turn(a, b, p) >= -1e-12 for a, b in zip(ring, ring[1:], strict=False) for p in points)
         else:
             assert len(ring) == min(2, len(set(points)))
+
+
+def test_search_parts_are_bounded_and_never_broadcast(spark, clustered, monkeypatch):
+    rows = clustered.where("id < 3000")
+    queries = rows.where("id % 20 = 0")
+    order = lambda df: {(r["id"], r["place"], r["other"]) for r in df.collect()}
+    truth = order(vectors.top_similar(queries, rows, part=5000))
+    sizes = []
+    monkeypatch.setattr(vectors, "ASKED", 50)
+    index = VectorIndex.fit(clustered, sample=700, cells=30, part=100)
+    assert index.rows.groupBy("bundle").count().agg(F.max("count")).first()[0] <= 160
+    for found in (vectors.top_similar(queries, rows, part=100), index.search(queries, exact=True)):
+        assert order(found) == truth
+        sizes.append(found._jdf.queryExecution().executedPlan().toString())
+    assert all("CoGroup" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan for plan in sizes)

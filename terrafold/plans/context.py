@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,8 +13,9 @@ from pyspark.sql import functions as F
 from terrafold.functions import models
 from terrafold.functions.models import half_up
 from terrafold.operators import spatial
+from terrafold.operators.totals import totals
 from terrafold.operators.vectors import VectorIndex, top_similar
-from terrafold.plans.core import exact_avg, sql_avg
+from terrafold.plans.core import exact_avg, money, sql_avg
 from terrafold.plans.views import query
 
 # Lower bounds and labels of the vegetation index, land-cover codes with name and category.
@@ -67,6 +70,15 @@ def reforestation(points: DataFrame) -> DataFrame:
     return cells.withColumn("suitability", F.when(F.col("carbon") < 15, "High").when(F.col("carbon") < 30, "Medium").otherwise("Low"))
 
 
+def mean_in(boxes: DataFrame, points: DataFrame, value: str) -> DataFrame:
+    """``id``, ``n`` points in each box, and the ``mean`` of a value by a decimal sum, as ``exact_avg``; the sum is carried in two whole numbers."""
+    units = (money(value) * 1_000_000).cast("decimal(18,0)").cast("long")
+    rows = points.select("lat", "lon", units.alias("_u")).select("lat", "lon", F.expr("_u div 1000000000").alias("high"), (F.col("_u") % 1_000_000_000).alias("low"), F.col("_u").isNotNull().cast("long").alias("known"))
+    found = totals(boxes, rows, "id", sums=("high", "low", "known"))
+    whole = F.col("high").cast("decimal(24,0)") * F.lit(1000).cast("decimal(4,0)") + F.col("low").cast("decimal(24,0)") * F.lit(Decimal("0.000001")).cast("decimal(6,6)")
+    return found.select("id", "n", half_up(F.try_divide(whole.cast("double"), F.col("known")), 4).alias("mean"))
+
+
 @query("a21_context", "watched_locations", "fire_detections", "soil_points", sql=f"""
 with f as (select w.id, {sql_avg('frp')} as fire, count(*) as fires from watched_locations w join fire_detections f on f.lat between w.lat - 0.45::double and w.lat + 0.45::double and f.lon between w.lon - 0.45::double and w.lon + 0.45::double group by 1),
 s as (select w.id, {sql_avg('organic_carbon')} as carbon from watched_locations w join soil_points p on p.lat between w.lat - 0.45::double and w.lat + 0.45::double and p.lon between w.lon - 0.45::double and w.lon + 0.45::double group by 1)
@@ -74,9 +86,8 @@ select w.id, coalesce(f.fire, 0.0::double) as fire, coalesce(f.fires, 0) as fire
 def context(places: DataFrame, fires: DataFrame, soil: DataFrame) -> DataFrame:
     """Averages around every location, with defaults where there is nothing."""
     boxes = places.select("id", *((F.col(c) + d).alias(n) for n, c, d in (("west", "lon", -0.45), ("south", "lat", -0.45), ("east", "lon", 0.45), ("north", "lat", 0.45))))
-    near = lambda df, *cs: spatial.box_join(df.select("lat", "lon", *cs), boxes, cell=0.5).groupBy("id")
-    f = near(fires, "frp").agg(exact_avg("frp").alias("fire"), F.count("*").alias("fires"))
-    s = near(soil, "organic_carbon").agg(exact_avg("organic_carbon").alias("carbon"))
+    f = mean_in(boxes, fires, "frp").select("id", F.col("mean").alias("fire"), F.col("n").alias("fires"))
+    s = mean_in(boxes, soil, "organic_carbon").select("id", F.col("mean").alias("carbon"))
     return places.select("id").join(f, "id", "left").join(s, "id", "left").select("id", F.coalesce("fire", F.lit(0.0)).alias("fire"), F.coalesce("fires", F.lit(0)).alias("fires"), F.coalesce("carbon", F.lit(0.5)).alias("carbon"))
 
 
@@ -88,7 +99,8 @@ def location_context(places: DataFrame, areas: DataFrame, requests: DataFrame, g
     """
     at = places.select("id", "lat", "lon", "radius_km")
     dry = spatial.box_join(at, areas.select("dm", "west", "south", "east", "north"), cell=2.0).groupBy("id").agg(F.max("dm").alias("dm"))
-    zones = spatial.within_join(at, requests.where("status = 'open'").select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "vote_count"), F.col("radius_km").cast("double"), right_at=("r_lat", "r_lon")).groupBy("id").agg(F.count("*").alias("requests"), F.max("vote_count").alias("top_votes"))
+    zones = totals(at.select("id", "lat", "lon", F.col("radius_km").alias("km")), requests.where("status = 'open'").select("lat", "lon", "vote_count"), "id", largest=("vote_count",), circle=True)
+    zones = zones.select("id", F.col("n").alias("requests"), F.col("vote_count").cast("int").alias("top_votes"))
     near = spatial.nearest_planar(at, gauges.select("site_no", "percentile", "condition", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon")), "id", "site_no", 2.0, right_at=("g_lat", "g_lon")).select("id", "site_no", models.gauge_stress(F.col("percentile"), F.col("condition")).alias("gauge_stress"))
     latest = days.groupBy("station_id").agg(F.max_by(F.struct("rh", "wind_kmh"), "day").alias("w"), F.max("day").alias("weather_day"))
     weather = at.select("id", (F.col("id") % 20).alias("station_id")).join(latest, "station_id").select("id", "w.rh", "w.wind_kmh", "weather_day")

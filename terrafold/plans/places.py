@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from terrafold.functions import geo, models
 from terrafold.functions.models import half_up
 from terrafold.operators import maintenance, spatial, tracks
+from terrafold.operators.totals import totals
 from terrafold.plans.core import AS_OF, AREA_BOX, ORDERS_AS_OF, since
 from terrafold.plans.views import query
 
@@ -117,9 +118,9 @@ with p as (select w.id, r.strategy_type, {km_sql('w.lat', 'w.lon', 'r.lat', 'r.l
 select id, count(*) as requests, string_agg(distinct strategy_type, ', ' order by strategy_type) as types from p where km <= radius_km group by 1""")
 def within_distance(places: DataFrame, requests: DataFrame) -> DataFrame:
     """Open requests around each location and their types."""
-    right = requests.where("status = 'open'").select("strategy_type", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    near = spatial.within_join(places.select("id", "lat", "lon", "radius_km"), right, F.col("radius_km").cast("double"), right_at=("r_lat", "r_lon"))
-    return near.groupBy("id").agg(F.count("*").alias("requests"), F.array_join(F.array_sort(F.collect_set("strategy_type")), ", ").alias("types"))
+    open_ = requests.where("status = 'open'").select("strategy_type", "lat", "lon")
+    near = totals(places.select("id", "lat", "lon", F.col("radius_km").alias("km")), open_, "id", by="strategy_type", circle=True)
+    return near.groupBy("id").agg(F.sum("n").alias("requests"), F.array_join(F.array_sort(F.collect_set("strategy_type")), ", ").alias("types"))
 
 
 @query("j12_max_drought", "watched_locations", "drought_areas", sql="select w.id, max(d.dm)::int as dm, (40 + 15 * max(d.dm))::double as stress from watched_locations w join drought_areas d on w.lon between d.west and d.east and w.lat between d.south and d.north group by 1")
@@ -278,7 +279,9 @@ def alerts(subs: DataFrame, places: DataFrame, fires: DataFrame, areas: DataFram
     burning = spatial.nearest_join(of("fire_proximity"), other(fires.where(since("detected_at", AS_OF, "'10' DAY")), "id"), "location_id", "key", F.col("radius_km"), right_at=("o_lat", "o_lon"))
     dry = spatial.box_join(of("drought_escalation"), areas.where("dm >= 3").select("dm", "west", "south", "east", "north"), cell=2.0).groupBy("user_id", "location_id").agg(F.max("dm").alias("dm"))
     low = spatial.nearest_join(of("streamflow_critical"), other(gauges.where("condition = 'critically_low'"), "site_no"), "location_id", "key", F.lit(200.0), right_at=("o_lat", "o_lon"))
-    zones = spatial.within_join(of("priority_zone_created"), other(requests.where("status = 'open' and vote_count >= 55"), "id"), F.col("radius_km"), right_at=("o_lat", "o_lon")).groupBy("user_id", "location_id").agg(F.count("*").alias("n"))
+    watched = of("priority_zone_created")
+    around = totals(watched.select("location_id", "lat", "lon", F.col("radius_km").alias("km")).distinct(), requests.where("status = 'open' and vote_count >= 55").select("lat", "lon"), "location_id", circle=True)
+    zones = watched.select("user_id", "location_id").distinct().join(around, "location_id")
     parts = (
         made(burning, "fire_proximity", models.distance_severity(F.col("distance_km")), F.format_string("Active fire detected %d km away", km)),
         made(dry, "drought_escalation", F.lit("critical"), F.format_string("D%d drought near watched location", "dm")),

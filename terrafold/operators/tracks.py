@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,11 +71,48 @@ def kept_points(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
 
 
 def simplify(positions: DataFrame, eps: float = 1e-4) -> DataFrame:
-    """Tracks without the points that lie within ``eps`` degrees of the line, per asset and day (so a task's track is bounded)."""
-    rows = positions.select("asset_id", F.to_date("time").alias("day"), "id", "time", "lat", "lon")
+    """Tracks without the points that lie within ``eps`` degrees of the line, per asset and day (so a task's track is bounded).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["time", "id"])
-        return pdf[kept_points(pdf["lon"].to_numpy(), pdf["lat"].to_numpy(), eps)]
+    A task reads its tracks one after the other from sorted batches; only a batch's last track waits for the next batch.
+    """
+    rows = positions.select("asset_id", F.to_date("time").alias("day"), "id", "time", "lat", "lon")
 
-    return rows.groupBy("asset_id", "day").applyInPandas(run, rows.schema)
+    def kept(tracks: pa.Table) -> pa.Table:
+        asset, day, x, y = (tracks.column(c).combine_chunks() for c in ("asset_id", "day", "lon", "lat"))
+        starts = np.r_[_changes(asset, day), len(asset)]
+        x, y = (v.to_numpy(zero_copy_only=False) for v in (x, y))
+        keep = np.ones(len(x), bool)
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if b - a > 2:
+                keep[a:b] = kept_points(x[a:b], y[a:b], eps)
+        return tracks.filter(pa.array(keep))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        open_track = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c) for c in ("asset_id", "day")]
+            last = int(_changes(*keys)[-1])
+            first, end = (tuple(k[j].as_py() for k in keys) for j in (0, batch.num_rows - 1))
+            if last == 0 and first == open_track:
+                waiting.append(batch)
+                continue
+            yield from kept(pa.Table.from_batches([*waiting, batch.slice(0, last)])).to_batches()
+            waiting, open_track = [batch.slice(last)], end
+        if waiting:
+            yield from kept(pa.Table.from_batches(waiting)).to_batches()
+
+    by = ["asset_id", "day"]
+    return rows.repartition(*by).sortWithinPartitions(*by, "time", "id").mapInArrow(run, rows.schema)
+
+
+def _changes(*keys: pa.Array) -> np.ndarray:
+    """Where a row's keys differ from the row before; the first row counts."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        codes = k.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.nonzero(new)[0]

@@ -189,3 +189,25 @@ def test_search_parts_are_bounded_and_never_broadcast(spark, clustered, monkeypa
         assert order(found) == truth
         sizes.append(found._jdf.queryExecution().executedPlan().toString())
     assert all("CoGroup" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan for plan in sizes)
+
+
+def test_tracks_over_several_batches(spark):
+    import numpy as np
+
+    from terrafold.operators.tracks import kept_points, simplify
+
+    rng = random.Random(8)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(k, rng.choice([1, 2, 3, None]) if k % 5 else 9, start + datetime.timedelta(minutes=rng.randrange(4000)), rng.uniform(0, 1), rng.uniform(0, 1)) for k in range(700)]
+    df = spark.createDataFrame(rows, "id long, asset_id long, time timestamp, lat double, lon double")
+    tracks = {}
+    for r in sorted(df.collect(), key=lambda r: (r["time"], r["id"])):
+        tracks.setdefault((r["asset_id"], r["time"].date()), []).append(r)
+    want = {r["id"] for t in tracks.values() for r, stays in zip(t, kept_points(np.array([r["lon"] for r in t]), np.array([r["lat"] for r in t]), 0.3), strict=True) if stays}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = simplify(df, 0.3)
+        assert {r["id"] for r in found.collect()} == want and len(want) < 600
+        assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

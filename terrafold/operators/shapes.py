@@ -52,24 +52,29 @@ def boxes_meet(a: Column, b: Column) -> Column:
     return (a["west"] <= b["east"]) & (a["east"] >= b["west"]) & (a["south"] <= b["north"]) & (a["north"] >= b["south"])
 
 
+def box_holds(a: Column, b: Column) -> Column:
+    return (a["west"] <= b["west"]) & (a["east"] >= b["east"]) & (a["south"] <= b["south"]) & (a["north"] >= b["north"])
+
+
 def tile_candidates(shapes: DataFrame, tiles: DataFrame, key: str, paths: str = "paths") -> DataFrame:
-    """``z, x, y``, ``bounds`` and ``key`` of shapes whose bounds meet a tile's; each pair once. ``tiles`` has distinct ``z, x, y``."""
+    """``z, x, y``, ``bounds``, ``key`` and ``held`` (the tile holds its bounds) of shapes whose bounds meet a tile's; each pair once. ``tiles`` has distinct ``z, x, y``."""
     own = F.struct(F.col("z").cast("int").alias("level"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
     asked = tiles.select("z", "x", "y", geo.tile_bounds(F.col("x"), F.col("y"), F.col("z")).alias("bounds"), own.alias("cell"))
     asked = asked.select("z", F.col("x").alias("tx"), F.col("y").alias("ty"), "bounds", F.explode(F.concat(F.array("cell"), above(F.col("cell")))).alias("c")).select("z", "tx", "ty", "bounds", "c.*")
     met = shape_cells(shapes, key, paths).join(asked, ["level", "x", "y"]).where(F.col("own") | (F.col("level") == F.col("z")))
-    return met.where(boxes_meet(F.col("box"), F.col("bounds"))).select("z", F.col("tx").alias("x"), F.col("ty").alias("y"), "bounds", key)
+    return met.where(boxes_meet(F.col("box"), F.col("bounds"))).select("z", F.col("tx").alias("x"), F.col("ty").alias("y"), "bounds", box_holds(F.col("bounds"), F.col("box")).alias("held"), key)
 
 
 def shapes_in_tiles(shapes: DataFrame, tiles: DataFrame, key: str, *, paths: str = "paths", areas: Column | None = None) -> DataFrame:
-    """The shapes of each tile, by exact geometry. ``paths`` are lines, or rings where ``areas`` holds; all columns stay, and ``bounds`` of the tile.
+    """The shapes of each tile, by exact geometry. ``paths`` are lines, or rings where ``areas`` holds; all columns stay, and ``bounds`` of the tile and ``held``.
 
-    Only keys and bounds travel with the cells; the geometry comes back by ``key`` (unique) for pairs whose bounds meet.
+    Only keys and bounds travel with the cells; the geometry comes back by ``key`` (unique) for pairs whose bounds meet. A shape whose bounds the tile holds needs no test.
     """
     pairs = tile_candidates(shapes, tiles, key, paths)
     line = F.exists(F.col(paths), lambda p: line_meets_box(p, F.col("bounds")))
     test = line if areas is None else F.when(areas, polygon_meets_box(F.col(paths), F.col("bounds"))).otherwise(line)
-    return pairs.join(shapes, key).where(test)
+    full = F.forall(F.flatten(paths), lambda p: p["lon"].isNotNull() & p["lat"].isNotNull())
+    return pairs.join(shapes, key).withColumn("held", F.col("held") & full).where(F.when(F.col("held"), True).otherwise(test))
 
 
 def in_bounds(shapes: DataFrame, box: tuple[float, float, float, float], rings: str = "rings") -> DataFrame:

@@ -55,7 +55,7 @@ def tiles_of_shapes(basins: DataFrame, trails: DataFrame, asked: DataFrame) -> D
     from terrafold.functions.clip import line_meets_box
 
     met = shapes_in_tiles(shapes_of(basins, trails), asked.distinct(), "shape", areas=F.col("is_area"))
-    border = F.exists("paths", lambda p: line_meets_box(p, F.col("bounds")))
+    border = F.when(F.col("held") | ~F.col("is_area"), True).otherwise(F.exists("paths", lambda p: line_meets_box(p, F.col("bounds"))))
     return met.groupBy("z", "x", "y").agg(F.count("*").alias("n"), F.min("shape").alias("first_shape"), F.count_if(~border).alias("around"))
 
 
@@ -77,7 +77,8 @@ def trail_length(basins: DataFrame, trails: DataFrame, asked: DataFrame) -> Data
     lines = shapes_of(basins, trails).where("not is_area")
     met = shapes_in_tiles(lines, asked.distinct(), "shape")
     inside = F.aggregate(F.flatten(F.transform("paths", lambda p: clip_line(p, F.col("bounds")))), F.lit(0.0), lambda s, part: s + planar_length(part))
-    total = F.sum(inside.cast("decimal(18,9)"))
+    whole = F.aggregate("paths", F.lit(0.0), lambda s, p: s + planar_length(p))
+    total = F.sum(F.when(F.col("held"), whole).otherwise(inside).cast("decimal(18,9)"))
     return met.groupBy("z", "x", "y").agg(total.alias("total")).where("total > 0.0001").select("z", "x", "y", half_up(F.col("total").cast("double"), 5).alias("degrees"))
 
 

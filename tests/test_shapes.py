@@ -160,3 +160,11 @@ def test_a_dense_cell_writes_no_pairs(spark, monkeypatch):
     assert got.agg(F.count_distinct("cluster")).first()[0] == 1 and got.count() == 10_005
     pairs = max(n for columns, n in written if {"a", "b"} <= columns)
     assert pairs <= 4 * 10_005 and all(n <= 4 * 10_005 for _, n in written)
+
+
+def test_shapes_that_a_tile_holds_are_not_tested(spark):
+    point = lambda lon, lat: (lon, lat)
+    rows = [(1, [[point(1.0, 1.0), point(2.0, 2.0)]]), (2, [[point(1.0, None), point(None, 2.0)]]), (3, [[point(-5.0, 1.0), point(5.0, 1.0)]]), (4, [[point(9.0, 9.0)]])]
+    df = spark.createDataFrame(rows, "id int, paths array<array<struct<lon:double,lat:double>>>")
+    tiles = spark.createDataFrame([(3, 4, 3)], "z int, x long, y long")  # 0 to 45 east, 0 to 41 north
+    assert {(r["id"], r["held"]) for r in shapes.shapes_in_tiles(df, tiles, "id").collect()} == {(1, True), (3, False), (4, True)}

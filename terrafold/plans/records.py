@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions import models
-from terrafold.functions.clip import polygon_meets_box
 from terrafold.functions.models import half_up
 from terrafold.operators import spatial
 from terrafold.operators.asof import as_of
+from terrafold.operators.meeting import polygons_met
 from terrafold.plans.places import up
 from terrafold.plans.shapes import CROSSES, MEETS, corners
 from terrafold.plans.views import ORACLES, VIEWS, ctes, query
@@ -91,11 +91,8 @@ def box_around(degrees: float) -> Column:
 
 def burned_near(places: DataFrame, perimeters: DataFrame, degrees: float = 0.25, years: int = 30) -> DataFrame:
     """``id``, ``perimeters`` and ``last_burn``: polygons (``fire, burned, rings``) of the last years that share a point with the square around a place."""
-    boxed = places.select("id", F.year("as_of").alias("year"), box_around(degrees).alias("box")).select("*", "box.*")
-    bounds = perimeters.withColumn("r", F.struct(*(f(F.transform(F.flatten("rings"), lambda p, a=axis: p[axis])).alias(n) for n, axis, f in (("west", "lon", F.array_min), ("south", "lat", F.array_min), ("east", "lon", F.array_max), ("north", "lat", F.array_max)))))
-    met = spatial.boxes_overlap(boxed, bounds.select("fire", "burned", "rings", *(F.col(f"r.{c}").alias(f"r_{c}") for c in ("west", "south", "east", "north"))))
-    met = met.where(F.col("burned").between(F.col("year") - years, F.col("year")) & polygon_meets_box(F.col("rings"), F.col("box")))
-    return met.groupBy("id").agg(F.count("*").alias("perimeters"), F.max("burned").alias("last_burn"))
+    boxed = places.select("id", box_around(degrees).alias("box"), F.year("as_of").alias("high")).select("id", "box.*", "high", (F.col("high") - years).alias("low"))
+    return polygons_met(boxed, perimeters.select("rings", F.col("burned").alias("value")), "id").select("id", F.col("n").alias("perimeters"), F.col("largest").alias("last_burn"))
 
 
 @query("d40_regional_record", "dated_locations", "weather_days", "drought_areas", "water_gauges", "gauge_readings", "basins", "soil_points", "geofences", sql=RECORD_SQL)

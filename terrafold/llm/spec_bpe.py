@@ -26,6 +26,8 @@ from terrafold.llm.pretoken import Pieces, Vocabulary, byte_characters, cut, tak
 NEVER = np.int64(1) << 40
 #: Pairs with a known verdict that a task keeps.
 KNOWN_PAIRS = 1 << 20
+#: Text bytes encoded at a time: the arrays beside a text take about twenty times its bytes.
+PIECE_BYTES = 2 << 20
 
 
 class HashTable:
@@ -323,22 +325,23 @@ def encoder_of(vocabulary: Vocabulary) -> Encoder:
     return _ENCODERS[vocabulary.text]
 
 
+def encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, text: str, added: list) -> Iterator[pa.RecordBatch]:
+    """The rows with the columns ``added`` (names and kinds), encoded ``PIECE_BYTES`` at a time."""
+    names = {n for n, _ in added}
+    for table in pieces(batches, text, PIECE_BYTES):
+        encoder = encoder_of(vocabulary)
+        offsets, ids = encoder.encode(texts(table, text))
+        back = encoder.decode(offsets, ids) if names & {"decoded", "decoded_sha256"} else []
+        made = {"n_tokens": lambda: pa.array(np.diff(offsets)), "ids": lambda: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), "decoded": lambda: pa.array(back, pa.string()),
+                "ids_sha256": lambda: pa.array([hashlib.sha256(ids[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]),
+                "decoded_sha256": lambda: pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back])}
+        for name, _ in added:
+            table = table.append_column(name, made[name]())
+        yield from table.combine_chunks().to_batches()
+
+
 def _mapped(docs: DataFrame, path: str, text: str, added: list) -> DataFrame:
     docs = docs.drop(*(n for n, _ in added))
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path).text)  # read on the driver only; as large as the vocabulary
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in added)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in pieces(batches, text):
-            encoder = encoder_of(Vocabulary(shared.value))
-            offsets, ids = encoder.encode(texts(table, text))
-            names = {n for n, _ in added}
-            back = encoder.decode(offsets, ids) if names & {"decoded", "decoded_sha256"} else []
-            made = {"n_tokens": lambda: pa.array(np.diff(offsets)), "ids": lambda: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), "decoded": lambda: pa.array(back, pa.string()),
-                    "ids_sha256": lambda: pa.array([hashlib.sha256(ids[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]),
-                    "decoded_sha256": lambda: pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back])}
-            for name, _ in added:
-                table = table.append_column(name, made[name]())
-            yield from table.combine_chunks().to_batches()
-
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: encoded(batches, Vocabulary(shared.value), text, added), schema)

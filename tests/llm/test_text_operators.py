@@ -180,6 +180,14 @@ def test_bpe_odd_input(odd, empty):
     assert spec_bpe.digest(empty, vocabulary_path()).count() == 0
 
 
+def test_bpe_works_on_small_pieces():
+    text = ["many words of text " * 5000] * 100  # 9.5 MB in one batch
+    batch = pa.RecordBatch.from_arrays([pa.array(text)], names=["text"])
+    made = list(spec_bpe.encoded(iter([batch]), Vocabulary.load(vocabulary_path()), "text", [("ids", None), ("decoded", None)]))
+    assert [x for b in made for x in b.column("decoded").to_pylist()] == text
+    assert max(sum(map(len, b.column("text").to_pylist())) for b in made) <= 2 << 20
+
+
 def test_elias_fano_round_trip():
     rng = np.random.default_rng(5)
     for n, top in ((0, 0), (1, 0), (1, 9), (300, 310), (999, 10**6), (4000, 4000)):

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLLECTION = "type string, features array<struct<type string, id string, geometry struct<type string, coordinates string>, properties string>>, _corrupt string"
+#: A line end that no JSON text can hold, so that a file is one line. Spark cuts values that stay text (coordinates,
+#: properties) out of a line's bytes; with ``multiLine`` it reads each of them from the file again.
+NO_LINE_END = "\0\0\0"
 SENSOR = "sensor_id string, lat double, lon double, timestamp timestamp, readings map<string,string>"
 POSITION = "assetId string, lat double, lon double, heading double, speed double, altitude double, timestamp timestamp"
 NWIS = (
@@ -47,7 +50,7 @@ def fires_in(fires: DataFrame, box: tuple[float, float, float, float] = (-180, -
 
 def collection(spark: SparkSession, path: str, *, need_geometry: bool = True) -> tuple[DataFrame, DataFrame]:
     """S3: features of GeoJSON collections, and the documents or features that are not valid."""
-    docs = spark.read.schema(COLLECTION).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path).withColumn("file", F.input_file_name())
+    docs = spark.read.schema(COLLECTION).option("lineSep", NO_LINE_END).option("columnNameOfCorruptRecord", "_corrupt").json(path).withColumn("file", F.input_file_name())
     ok = F.col("_corrupt").isNull() & (F.col("type") == "FeatureCollection") & F.col("features").isNotNull()
     each = docs.where(ok).select("file", F.explode("features").alias("f")).select("file", "f.id", F.col("f.type").alias("type"), F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))
     fine = (F.col("type") == "Feature") & (F.col("geometry_type").isNotNull() if need_geometry else F.lit(True))
@@ -116,7 +119,7 @@ def gauges(spark: SparkSession, path: str) -> DataFrame:
 
 def drought(spark: SparkSession, path: str, week: str | None = None) -> DataFrame:
     """Drought polygons of files kept by ``week_date``; without a week the newest one."""
-    docs = spark.read.schema("type string, features array<struct<type string, id string, geometry struct<type string, coordinates string>, properties string>>").option("multiLine", True).json(path)
+    docs = spark.read.schema("type string, features array<struct<type string, id string, geometry struct<type string, coordinates string>, properties string>>").option("lineSep", NO_LINE_END).json(path)
     parts = docs.select("week_date", F.posexplode("features").alias("ordinal", "f"))
     newest = parts.agg(F.max("week_date").alias("newest"))
     rows = parts.where(F.col("week_date") == F.lit(week).cast("date")) if week else parts.join(F.broadcast(newest), F.col("week_date") == F.col("newest")).drop("newest")

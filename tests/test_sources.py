@@ -1,5 +1,6 @@
 """Readers of landed files, and sinks, on small files."""
 
+import gzip
 import json
 
 from pyspark.sql import functions as F
@@ -35,6 +36,15 @@ def test_collection(spark, tmp_path):
     assert landed.collection(spark, str(tmp_path), need_geometry=False)[0].count() == 4
 
 
+def test_collection_keeps_text_as_written(spark, tmp_path):
+    """Values that stay text come from the file's bytes, also of a packed file and one over many lines."""
+    text = '{"type": "FeatureCollection",\n "features": [\n  {"type": "Feature", "geometry": {"type": "Point",\n   "coordinates": [1.50, 2]}, "properties": {"a": 1.10}}\n ]\n}\n'
+    put(tmp_path / "a.json", text)
+    (tmp_path / "b.json.gz").write_bytes(gzip.compress(text.encode()))
+    rows = landed.collection(spark, str(tmp_path))[0].collect()
+    assert [(r["coordinates"], r["properties"]) for r in rows] == [("[1.50, 2]", '{"a": 1.10}')] * 2
+
+
 def test_layers(spark, tmp_path):
     csv = put(tmp_path / "l.csv", "name,Lat,lng\na,1.5,2.5\nb,,3\n")
     kml = put(tmp_path / "l.kml", "<kml><Document><Placemark><name>n</name><Point><coordinates> 7,8,0 </coordinates></Point></Placemark><Placemark><name>e</name></Placemark></Document></kml>")

@@ -162,6 +162,21 @@ def test_a_dense_cell_writes_no_pairs(spark, monkeypatch):
     assert pairs <= 4 * 10_005 and all(n <= 4 * 10_005 for _, n in written)
 
 
+def test_dense_places_are_written_once(spark, monkeypatch):
+    written, keep = [], density.materialize
+
+    def counted(df, *args, **kwargs):
+        out = keep(df, *args, **kwargs)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(density, "materialize", counted)
+    df = spark.range(8_000).select(F.lit("a").alias("kind"), "id", (40 + F.pmod(F.xxhash64("id"), F.lit(99_991)) / 500_000).alias("lat"), (-120 + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(99_989)) / 500_000).alias("lon"))
+    got = density.dbscan(df, part="kind", eps=0.05, min_points=3)
+    assert got.agg(F.min("cluster"), F.max("cluster"), F.count("*")).first() == (0, 0, 8_000)
+    assert sum(written) <= 2 * 8_000
+
+
 def test_shapes_that_a_tile_holds_are_not_tested(spark):
     point = lambda lon, lat: (lon, lat)
     rows = [(1, [[point(1.0, 1.0), point(2.0, 2.0)]]), (2, [[point(1.0, None), point(None, 2.0)]]), (3, [[point(-5.0, 1.0), point(5.0, 1.0)]]), (4, [[point(9.0, 9.0)]])]

@@ -15,10 +15,10 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 SECOND = 1_000_000  # times are microseconds
 MINUTE = 60 * SECOND
@@ -109,8 +109,17 @@ def decided(requests: DataFrame, rule: Rule, *, keys: list[str], time: str = "ti
     return rows.groupBy(*keys).applyInPandas(run, f"{_kinds(requests, keys, row_id)}, time timestamp, allowed boolean, retry_after long")
 
 
+#: Requests in one entry of the state: each entry costs Spark a call and a conversion.
+PACK = 4096
+
+
+def packed(requests: list[tuple]) -> list[tuple[list, list]]:
+    """Times and ids of requests, ``PACK`` to an entry."""
+    return [tuple(map(list, zip(*requests[k : k + PACK], strict=True))) for k in range(0, len(requests), PACK)]
+
+
 class _Ordered(StatefulProcessor):
-    """Requests wait in ``pending`` for the watermark; ``held`` is the rule's memory."""
+    """Requests wait in ``pending`` for the watermark, many to an entry; ``held`` is the rule's memory."""
 
     def __init__(self, rule: Rule, keys: list[str], row_id: str, id_kind: StructType) -> None:
         self.rule, self.keys, self.row_id, self.id_kind = rule, keys, row_id, id_kind
@@ -120,35 +129,31 @@ class _Ordered(StatefulProcessor):
         self.pending = handle.getListState("pending", self.id_kind)
         self.held = handle.getListState("held", "at long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        first = None
-        for pdf in rows:
-            if len(pdf):
-                self.pending.appendList(list(pdf[["at", self.row_id]].itertuples(index=False, name=None)))
-                low = int(pdf["at"].min())
-                first = low if first is None else min(first, low)
-        if first is not None:
-            self.handle.registerTimer(-(-first // 1000))
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803  Spark's names
+        new = [(r["at"], r[self.row_id]) for r in rows]
+        if new:
+            self.pending.appendList(packed(new))
+            self.handle.registerTimer(-(-min(x[0] for x in new) // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted((int(at), row) for at, row in self.pending.get()) if self.pending.exists() else []
+        waiting, before = sorted(x for pack in self.pending.get() for x in zip(*pack, strict=True)), [x[0] for x in self.held.get()]
         due = [x for x in waiting if x[0] <= passed]
-        left = waiting[len(due) :]
-        held = deque(int(x[0]) for x in self.held.get()) if self.held.exists() else deque()
-        out = [(*key, row, at, *self.rule.decide(held, at)) for at, row in due]
+        left, held = waiting[len(due) :], deque(before)
+        decided_row = Row(*self.keys, self.row_id, "at", "allowed", "retry_after")
+        out = [decided_row(*key, row, at, *self.rule.decide(held, at)) for at, row in due]
         while held and self.rule.until(held[0]) <= passed:
             held.popleft()
-        for state, values in ((self.pending, left), (self.held, [(x,) for x in held])):
-            if values:
+        for state, changed, values in ((self.pending, bool(due), packed(left)), (self.held, before != list(held), [(x,) for x in held])):
+            if changed and values:
                 state.put(values)
-            else:
+            elif changed:
                 state.clear()
         wake = [x[0] for x in left[:1]] + ([self.rule.until(held[0])] if held else [])
         if wake:
             self.handle.registerTimer(-(-min(wake) // 1000))
-        yield pd.DataFrame(out, columns=[*self.keys, self.row_id, "at", "allowed", "retry_after"])
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -160,9 +165,9 @@ def decisions(requests: DataFrame, rule: Rule, *, keys: list[str], time: str = "
     Needs the RocksDB state store (``with_timers``).
     """
     marked = requests.where(F.col(time).isNotNull()).select(*keys, row_id, F.col(time).alias("time"), F.unix_micros(time).alias("at")).withWatermark("time", late)
-    id_kind = StructType().add("at", "long").add(row_id, requests.schema[row_id].dataType)
+    id_kind = StructType().add("at", ArrayType(LongType())).add(row_id, ArrayType(requests.schema[row_id].dataType))
     schema = f"{_kinds(requests, keys, row_id)}, at long, allowed boolean, retry_after long"
-    out = marked.groupBy(*keys).transformWithStateInPandas(_Ordered(rule, keys, row_id, id_kind), schema, "Append", "EventTime")
+    out = marked.groupBy(*keys).transformWithState(_Ordered(rule, keys, row_id, id_kind), schema, "Append", "EventTime")
     return out.select(*keys, row_id, F.timestamp_micros("at").alias("time"), "allowed", "retry_after")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terrafold.operators import tracks
 from terrafold.plans.views import view
 from terrafold.streaming import flows
-from terrafold.streaming.decisions import Cooldown, MinuteQuota, TrailingQuota, decided, decisions, with_timers
+from terrafold.streaming.decisions import Cooldown, MinuteQuota, TrailingQuota, decided, decisions, packed, with_timers
 from terrafold.streaming.settle import settled
 
 
@@ -114,6 +114,12 @@ def test_gauge_refresh_keeps_a_table_current(spark, tmp_path):
     assert flows.current(spark, table).first()["flow_cfs"] == 9.0
 
 
+def test_requests_wait_many_to_an_entry():
+    requests = [(k, f"r{k}") for k in range(5000)]
+    entries = packed(requests)
+    assert len(entries) == 2 and [x for e in entries for x in zip(*e, strict=True)] == requests and packed([]) == []
+
+
 RULES = {"quota": TrailingQuota(2, 43_200), "cooldown": Cooldown(), "minute": MinuteQuota(1)}
 
 

@@ -22,19 +22,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import head_rows, materialize, owner, pieces, shared_dir, texts, words
+from terrafold.llm.common import PIECE_BYTES, head_rows, materialize, owner, pieces, shared_dir, texts, words
 
 ENDINGS = 64
+#: Parts of the corpus in the first round of training.
+SLICES = 8
 #: Words kept in tasks are no longer than this many bytes.
 HEAD_BYTES = 64
 
 
-def ending_class(words_: list[str]) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w[-2:].encode()) % ENDINGS for w in words_), np.int64, len(words_))
+def ending_class(words_: pa.Array) -> np.ndarray:
+    """The class of each word's last two characters; each distinct ending is hashed once."""
+    ends = pc.utf8_slice_codeunits(words_, -2).dictionary_encode()
+    kinds = np.fromiter((zlib.crc32(w.encode()) % ENDINGS for w in ends.dictionary.to_pylist()), np.int64, len(ends.dictionary))
+    return kinds[ends.indices.to_numpy(zero_copy_only=False)]
 
 
 @dataclass(frozen=True)
@@ -97,7 +101,7 @@ def observed(text: pa.Array, lex: Lexicon) -> tuple[np.ndarray, np.ndarray, np.n
     coded = flat.dictionary_encode()
     distinct, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     place = pc.fill_null(pc.index_in(distinct, pa.array(lex.head, pa.large_string())), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    kind = np.where((place >= 0) & (place < lex.own), place, lex.own + ending_class(distinct.to_pylist()))
+    kind = np.where((place >= 0) & (place < lex.own), place, lex.own + ending_class(distinct))
     full = offsets + np.arange(len(offsets))
     classes = np.full(full[-1], lex.end, np.int32)
     classes[np.arange(len(codes)) + owner(offsets)] = kind[codes]
@@ -118,7 +122,7 @@ class Hmm:
         return cls(np.full(states, 1 / states), trans, emit / emit.sum(axis=0))
 
 
-def groups(offsets: np.ndarray, room: int = 600_000) -> Iterator[np.ndarray]:
+def groups(offsets: np.ndarray, room: int = 300_000) -> Iterator[np.ndarray]:
     """Rows by falling length, in groups of about ``room`` values."""
     n = np.diff(offsets)
     order = np.argsort(-n, kind="stable")
@@ -185,44 +189,74 @@ def updated(lex: Lexicon, start: np.ndarray, trans: np.ndarray, emit: np.ndarray
     return Hmm((start + 1) / (start + 1).sum(), (trans + 1) / (trans + 1).sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def class_lists(train: DataFrame, lexicon_, slices: int) -> DataFrame:
-    """The classes of every training text, packed as little-endian 32-bit numbers, so that the passes need not cut texts again; written by ``slice``."""
+def encode(docs: DataFrame, lex: Lexicon, *, doc_id: str = "doc_id", text: str = "text", train: Column | None = None, slices: int = SLICES) -> DataFrame:
+    """What training and scoring need of each row, written once, so that no text is cut again.
+
+    ``row`` numbers the rows. ``classes`` are packed as little-endian 32-bit numbers. ``known``, ``logs`` and ``inner`` are the
+    sums over words of the head: tokens, log10 of their counts + 1, and log10 of the shares within their classes; ``rare``
+    has all other words with their numbers. ``slice`` comes from the hash of the text, -1 where ``train`` isn't true.
+    """
+    spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
+    part = F.pmod(F.xxhash64(text), F.lit(slices)).cast("int")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (part if train is None else F.when(train, part).otherwise(-1)).alias("slice"))
+    lexicon_ = spark.sparkContext.broadcast(lex)  # bounded by head * HEAD_BYTES
+    schema = f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, classes binary, known long, logs double, inner double, rare array<struct<word: string, n: long>>, slice int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in pieces(batches):
-            offsets, obs, *_ = observed(texts(table), lexicon_.value)
-            lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), table.num_rows, [None, pa.py_buffer(offsets * 4), pa.py_buffer(obs.astype("<i4"))])
-            yield from pa.table({"classes": lists.cast(pa.binary()), "slice": table.column("slice")}).to_batches(max_chunksize=2000)
+        lex = lexicon_.value
+        share = np.concatenate([np.zeros(lex.own), np.log10(lex.class_tokens + lex.class_types + 1), [0.0]])
+        for table in pieces(batches, most=PIECE_BYTES // 2):
+            offsets, obs, at, codes, distinct, place = observed(texts(table), lex)
+            of, n, known = owner(at), table.num_rows, place >= 0
+            log_count = np.zeros(len(place))
+            log_count[known] = np.log10(lex.head_counts[place[known]] + 1)
+            within = np.where(place >= lex.own, log_count, 0)  # within an ending class
+            total = lambda x: np.bincount(of, weights=x[codes], minlength=n).astype(np.float64)
+            rare, count = np.unique(of[~known[codes]] * max(1, len(distinct)) + codes[~known[codes]], return_counts=True)
+            row, word = np.divmod(rare, max(1, len(distinct)))
+            words_ = pa.StructArray.from_arrays([distinct.take(pa.array(word)).cast(pa.string()), pa.array(count.astype(np.int64))], names=["word", "n"])
+            columns = {
+                "row": table.column("row"), "doc_id": table.column("doc_id"),
+                "classes": pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets * 4), pa.py_buffer(obs.astype("<i4"))]).cast(pa.binary()),
+                "known": pa.array(total(known.astype(np.float64)).astype(np.int64)), "logs": pa.array(total(log_count)),
+                "inner": pa.array(total(within) - np.add.reduceat(share[obs], offsets[:-1])),
+                "rare": pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), words_), "slice": table.column("slice"),
+            }
+            yield from pa.table(columns).to_batches(max_chunksize=2000)
+
+    rows.mapInArrow(run, schema).write.partitionBy("slice").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of the column ``classes``."""
+    packed = table.column("classes").combine_chunks().cast(pa.large_binary())
+    lengths = pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    first = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset] // 4
+    return offsets, np.frombuffer(packed.buffers()[2], "<i4")[first : first + offsets[-1]]
+
 
-    part = F.pmod(F.xxhash64("text"), F.lit(slices)).cast("int").alias("slice")
-    spark, path = train.sparkSession, shared_dir(train.sparkSession)
-    train.select("text", part).mapInArrow(run, "classes binary, slice int").write.partitionBy("slice").parquet(path)
-    return spark.read.schema("classes binary, slice int").parquet(path)
+def baum_welch(train: DataFrame, lex: Lexicon, *, states: int = 10, slices: int = SLICES, passes: int = 2, power: float = 0.6) -> Hmm:
+    """``fit`` over all texts of ``train``."""
+    return fit(encode(train.select("text", F.lit(0).alias("doc_id")), lex, slices=slices), lex, states=states, slices=slices, passes=passes, power=power)
 
 
-def baum_welch(train: DataFrame, lex: Lexicon, *, states: int = 10, slices: int = 8, passes: int = 2, power: float = 0.6) -> Hmm:
-    """Baum-Welch over all of ``train``, every step in tasks.
+def fit(encoded: DataFrame, lex: Lexicon, *, states: int = 10, slices: int = SLICES, passes: int = 2, power: float = 0.6) -> Hmm:
+    """Baum-Welch over all training rows of ``encoded``, every step in tasks.
 
     A first round takes the corpus in ``slices`` by the hash of the text, one for each step; the counts so far fade by
     (step + 2) ** -power, so all slices shape the start. Then come ``passes`` steps over the whole corpus at once.
     """
-    model = Hmm.first(lex, states)
+    model, classes = Hmm.first(lex, states), lex.classes
     columns = [f"s{k}" for k in range(states)]
     schema = "kind int, " + ", ".join(f"{c} double" for c in columns)
-    lexicon_ = train.sparkSession.sparkContext.broadcast(lex)  # bounded by head * HEAD_BYTES
-    encoded = class_lists(train, lexicon_, slices)
 
     def summed(rows: DataFrame, model: Hmm) -> list[np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lex = lexicon_.value
-            start, trans, emit = np.zeros(states), np.zeros((states, states)), np.zeros((lex.classes, states))
-            for table in pieces(batches, "classes"):
-                packed = table.column("classes").combine_chunks().cast(pa.large_binary())
-                lengths = pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-                first = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset] // 4
-                obs = np.frombuffer(packed.buffers()[2], "<i4")[first : first + offsets[-1]]
-                expected(model, offsets, obs, start, trans, emit)
+            start, trans, emit = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))
+            for table in pieces(batches, "classes", PIECE_BYTES // 2):
+                expected(model, *unpacked(table), start, trans, emit)
             some = np.flatnonzero(emit.sum(axis=1))
             table = np.concatenate([start[None], trans, emit[some]])
             kinds = np.concatenate([[-1], -2 - np.arange(states), some]).astype(np.int32)
@@ -230,7 +264,7 @@ def baum_welch(train: DataFrame, lex: Lexicon, *, states: int = 10, slices: int
 
         found = rows.select("classes").mapInArrow(run, schema).groupBy("kind").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
         kinds, table = found.column("kind").to_numpy(), np.stack([found.column(c).to_numpy() for c in columns], axis=1)
-        start, trans, emit = np.zeros(states), np.zeros((states, states)), np.zeros((lex.classes, states))
+        start, trans, emit = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))
         start += table[kinds == -1].sum(axis=0)
         trans[-2 - kinds[kinds < -1]] = table[kinds < -1]
         emit[kinds[kinds >= 0]] = table[kinds >= 0]
@@ -243,48 +277,32 @@ def baum_welch(train: DataFrame, lex: Lexicon, *, states: int = 10, slices: int
         held = new if held is None else [(1 - share) * x + share * y for x, y in zip(held, new, strict=True)]
         model = updated(lex, *(slices * x for x in held))
     for _ in range(passes):
-        model = updated(lex, *summed(encoded, model))
+        model = updated(lex, *summed(encoded.where("slice >= 0"), model))
     return model
 
 
 def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: Hmm, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row ``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (log10 probabilities)."""
-    session = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(F.col(text), F.lit("\1"), F.col(doc_id)).alias("k2"))
-    shared = session.sparkContext.broadcast((lex, model))  # bounded by head * HEAD_BYTES and classes * states
-    ids = rows.schema["doc_id"].dataType.simpleString()
+    """``score_encoded`` of all rows of ``docs``."""
+    return score_encoded(encode(docs, lex, doc_id=doc_id, text=text), counts, lex, model)
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, model = shared.value
-        share = np.concatenate([np.zeros(lex.own), np.log10(lex.class_tokens + lex.class_types + 1), [0.0]])
-        for table in pieces(batches):
-            offsets, obs, at, codes, _, place = observed(texts(table), lex)
-            known = place >= 0
-            log_count = np.zeros(len(place))
-            log_count[known] = np.log10(lex.head_counts[place[known]] + 1)
-            inner = np.where(place >= lex.own, log_count, 0)  # within an ending class
-            of, n = owner(at), len(offsets) - 1
-            total = lambda x: np.bincount(of, weights=x[codes], minlength=n).astype(np.float64)
-            hmm = likelihoods(model, offsets, obs) / np.log(10) - np.add.reduceat(share[obs], offsets[:-1]) + total(inner)
-            columns = [table.column("doc_id").combine_chunks(), table.column("k1").combine_chunks(), table.column("k2").combine_chunks(), pa.array(np.diff(offsets)), pa.array(total(known.astype(np.float64)).astype(np.int64)), pa.array(total(log_count)), pa.array(hmm)]
-            yield from pa.Table.from_arrays(columns, names=["doc_id", "k1", "k2", "n_tokens", "head_known", "head_logs", "hmm"]).to_batches()
 
-    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, _ = shared.value
-        for table in pieces(batches):
-            _, _, at, codes, distinct, place = observed(texts(table), lex)
-            rare = place[codes] < 0
-            key, n = np.unique(owner(at)[rare] * max(1, len(distinct)) + codes[rare], return_counts=True)
-            row, word = pa.array(key // max(1, len(distinct))), pa.array(key % max(1, len(distinct)))
-            k1, k2 = (table.column(c).combine_chunks().take(row) for c in ("k1", "k2"))
-            yield from pa.Table.from_arrays([k1, k2, distinct.take(word).cast(pa.string()), pa.array(n)], names=["k1", "k2", "word", "n"]).to_batches(max_chunksize=100_000)
-
-    by_row = rows.mapInArrow(heads, f"doc_id {ids}, k1 long, k2 long, n_tokens long, head_known long, head_logs double, hmm double")
-    rare = rows.select("text", "k1", "k2").mapInArrow(tails, "k1 long, k2 long, word string, n long").hint("merge").join(counts, "word")  # Spark splits frequent words
-    sums = rare.groupBy("k1", "k2").agg(F.sum("n").alias("tail_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("tail_logs"))
-    joined = by_row.join(sums, ["k1", "k2"], "left")
-    copies = F.count("*").over(W.partitionBy("k1", "k2"))  # equal rows added up in the sums
-    tail_logs, tail_known = F.coalesce(F.col("tail_logs") / copies, F.lit(0.0)), F.coalesce(F.col("tail_known") / copies, F.lit(0.0)).cast("long")
+def score_encoded(encoded: DataFrame, counts: DataFrame, lex: Lexicon, model: Hmm) -> DataFrame:
+    """Per row ``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (log10 probabilities)."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model)  # bounded by classes * states
+    kept = ["row", "doc_id", "known", "logs"]
+    ids = encoded.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in pieces(batches, "classes", PIECE_BYTES // 2):
+            offsets, obs = unpacked(table)
+            hmm = likelihoods(shared.value, offsets, obs) / np.log(10) + table.column("inner").to_numpy()
+            yield from table.select(kept).append_column("n_tokens", pa.array(np.diff(offsets))).append_column("hmm", pa.array(hmm)).to_batches()
+
+    by_row = encoded.select(*kept, "inner", "classes").mapInArrow(run, f"row long, doc_id {ids}, known long, logs double, n_tokens long, hmm double")
+    rare = encoded.select("row", F.inline("rare")).hint("merge").join(counts, "word")  # Spark splits frequent words
+    sums = rare.groupBy("row").agg(F.sum("n").alias("tail_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("tail_logs"))
+    joined = by_row.join(sums, "row", "left")
+    tail_logs, tail_known = F.coalesce("tail_logs", F.lit(0.0)), F.coalesce("tail_known", F.lit(0))
     log_all, ends = float(np.log10(lex.tokens + lex.types + 1)), int(lex.texts > 0)
-    base = F.col("head_logs") + tail_logs + F.lit(float(np.log10(lex.texts + 1))) - F.col("n_tokens") * log_all
-    return joined.select("doc_id", "n_tokens", (F.col("head_known") + tail_known + ends).alias("n_known"), F.lit(lex.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("hmm") + tail_logs if lex.texts else base).alias("score"))
+    base = F.col("logs") + tail_logs + F.lit(float(np.log10(lex.texts + 1))) - F.col("n_tokens") * log_all
+    return joined.select("doc_id", "n_tokens", (F.col("known") + tail_known + ends).alias("n_known"), F.lit(lex.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("hmm") + tail_logs if lex.texts else base).alias("score"))

@@ -156,6 +156,34 @@ def test_hmm_likelihood_and_counts(spark, odd, empty):
     assert all(r["score"] == r["base_score"] == 0 and r["n_known"] == 0 for r in rows)
 
 
+def test_hmm_reads_each_text_once(spark, odd):
+    """One pass over the texts gives all that training and scoring need; other rows train nothing."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = odd.select("doc_id", "text").mapInArrow(counted, "doc_id long, text string")
+    some = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+    counts = hmm_lm.word_counts(odd.where(some))
+    lex = hmm_lm.lexicon(counts, odd.where(some).count(), head=6, own=3)
+    want = hmm_lm.baum_welch(odd.where(some), lex, states=3)
+    scored = sorted(r["score"] for r in hmm_lm.score(docs, counts, lex, want).collect())
+    assert len(scored) == len(ODD) == read.value
+    encoded = hmm_lm.encode(docs, lex, train=some)
+    model = hmm_lm.fit(encoded, lex, states=3)
+    assert np.allclose(model.emit, want.emit, rtol=1e-4) and np.allclose(model.trans, want.trans, rtol=1e-4)
+    assert np.allclose(scored, sorted(r["score"] for r in hmm_lm.score_encoded(encoded, counts, lex, model).collect()), rtol=1e-4)
+    assert read.value == 2 * len(ODD)
+
+
+def test_hmm_classes_of_endings():
+    words = ["a", "", "é", "日本語", "ing", "😀😀", "xing", "ab" * 90]
+    assert hmm_lm.ending_class(pa.array(words, pa.large_string())).tolist() == [zlib.crc32(w[-2:].encode()) % hmm_lm.ENDINGS for w in words]
+
+
 HARD = ["", "  a   b\n\n\nc  ", "<|endoftext|>x <|endoftext|>", "a  b  c\x85 d\x1c \x1c z", "it's 'll  \t x\r\n y", "ab" * 700, "\x00 \x00added\x00<|endoftext|>", "日本語 テキスト 😀😀  é́", " ", "\n", "   ", "\n \n b", "    x", "Hello, World! 123"]
 
 

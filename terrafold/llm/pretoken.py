@@ -74,13 +74,12 @@ class Pieces:
     added: np.ndarray
 
 
-def cut(text: pa.Array, added: dict[str, int]) -> Pieces:
-    find = regex.compile(PATTERN).findall
+def units(text: pa.Array, added: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Which texts must be cut as a whole (these have one empty unit); then the texts as offsets and numbers of distinct units, and the units."""
     whole = pc.match_substring_regex(text, INNER_BLANK)
     for token in added:
         whole = pc.or_(whole, pc.match_substring(text, token))
-    whole = whole.to_numpy(zero_copy_only=False)
-    split = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), text), "\n", " \n"), " ")
+    split = pc.split_pattern(pc.replace_substring(pc.if_else(whole, pa.scalar("", pa.large_string()), text), "\n", " \n"), " ")
     at = split.offsets.to_numpy().astype(np.int64)
     at = at - at[0]
     coded = split.flatten().dictionary_encode()
@@ -88,14 +87,21 @@ def cut(text: pa.Array, added: dict[str, int]) -> Pieces:
     codes[at[:-1]] += 1  # a text's first unit has no blank before it
     used = np.zeros(2 * len(coded.dictionary), bool)
     used[codes] = True
-    number = np.cumsum(used) - 1
-    names = coded.dictionary.to_pylist()
-    units = [u if c & 1 or u[:1] == "\n" else " " + u for c in np.flatnonzero(used).tolist() for u in (names[c >> 1],)]
-    lists = [find(u) for u in units]
+    number, kept = np.cumsum(used) - 1, np.flatnonzero(used)
+    names = coded.dictionary.take(pa.array(kept >> 1))
+    plain = pc.or_(pa.array(kept & 1 == 1), pc.starts_with(names, "\n"))
+    blank, empty = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+    return whole.to_numpy(zero_copy_only=False), at, number[codes], pc.if_else(plain, names, pc.binary_join_element_wise(blank, names, empty))
+
+
+def cut(text: pa.Array, added: dict[str, int]) -> Pieces:
+    find = regex.compile(PATTERN).findall
+    whole, at, codes, names = units(text, added)
+    lists = [find(u) for u in names.to_pylist()]
     place: dict[str, int] = {}
     flat = np.fromiter((place.setdefault(p, len(place)) for x in lists for p in x), np.int64)
     bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))]).astype(np.int64)
-    unit_at, numbers = take_ragged(bounds, flat, number[codes])
+    unit_at, numbers = take_ragged(bounds, flat, codes)
     offsets = unit_at[at]
     ids = [-1] * len(place)
     if whole.any():

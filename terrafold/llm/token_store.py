@@ -15,17 +15,20 @@ empty table gives an empty store; other columns are not stored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.llm.common import integer_ids, pieces, texts
-from terrafold.llm.pretoken import Vocabulary, byte_characters, cut, take_ragged
+from terrafold.llm.pretoken import PATTERN, Pieces, Vocabulary, byte_characters, cut, take_ragged, units
 
 #: One position is kept for so many documents; the rest of a select is a scan of at most that many ones.
 SAMPLE = 128
@@ -93,34 +96,70 @@ class EliasFano:
 
 
 class LibraryEncoder:
-    """Encodes with the tokenizers library's model; a bounded table keeps the ids of pieces already met."""
+    """Encodes with the tokenizers library's model; bounded tables keep the ids of units and pieces already met."""
 
-    KEPT = 300_000
+    KEPT, KEPT_UNITS, KEPT_BYTES, LONGEST = 300_000, 600_000, 32 << 20, 64
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(vocabulary.text).model
         self.added, self.table = vocabulary.added, dict(enumerate(byte_characters()))
-        self.kept: dict[str, bytes] = {}
+        self.find, self.kept = regex.compile(PATTERN).findall, {}
+        self.units, self.unit_at, self.unit_ids = pa.array([], pa.large_string()), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def piece(self, piece: str) -> bytes:
         ids = self.kept.get(piece)
         if ids is None:
-            ids = np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))], np.int32).tobytes()
-            if len(self.kept) < self.KEPT and len(piece) < 64:
+            spelled = piece.replace(" ", self.table[32]) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.table)
+            ids = array("i", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            if len(self.kept) < self.KEPT and len(piece) < self.LONGEST:
                 self.kept[piece] = ids
         return ids
 
     def encode(self, text: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of each text, the end id after each."""
-        found = cut(text, self.added)
-        spelled = [self.piece(p) if a < 0 else np.int32(a).tobytes() for p, a in zip(found.distinct, found.added.tolist(), strict=True)]
-        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)))]).astype(np.int64) // 4
-        unit_at, flat = take_ragged(at, np.frombuffer(b"".join(spelled), np.int32), found.numbers)
-        offsets = unit_at[found.offsets]
+        whole, at, numbers, names = units(text, self.added)
+        unit_at, unit_ids, place = self.of_units(names)
+        flat_at, flat = take_ragged(unit_at, unit_ids, place[numbers])
+        offsets = flat_at[at]
+        if whole.any():
+            whole_at, whole_ids = self.of_pieces(cut(text.filter(pa.array(whole)), self.added))
+            place = np.where(whole, len(text) + np.cumsum(whole) - 1, np.arange(len(text)))
+            offsets, flat = take_ragged(np.concatenate([offsets, offsets[-1] + whole_at[1:]]), np.concatenate([flat, whole_ids]), place)
         return offsets + np.arange(len(offsets)), np.insert(flat, offsets[1:], end_id)
 
+    def of_units(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists of ids as offsets and flat values, and the place of each unit's list; new units are kept while there is room."""
+        place = pc.index_in(names, self.units)
+        new = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))
+        place = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[new] = len(self.units) + np.arange(len(new))
+        names = names.take(pa.array(new))
+        letters = pc.match_substring_regex(names, "^ ?[A-Za-z]+$").to_pylist()  # a piece as it is
+        spelled = [self.piece(u) if one else b"".join(map(self.piece, self.find(u))) for u, one in zip(names.to_pylist(), letters, strict=True)]
+        new_at, new_ids = ragged(spelled)
+        every_at, every_ids = np.concatenate([self.unit_at, self.unit_at[-1] + new_at[1:]]), np.concatenate([self.unit_ids, new_ids])
+        room = self.KEPT_UNITS - len(self.units) if self.units.nbytes + self.unit_ids.nbytes < self.KEPT_BYTES else 0
+        short = np.flatnonzero(pc.binary_length(names).to_numpy(zero_copy_only=False) < self.LONGEST)[:room]
+        if len(short):
+            short_at, short_ids = take_ragged(new_at, new_ids, short)
+            self.units = pa.concat_arrays([self.units, names.take(pa.array(short))])
+            self.unit_at, self.unit_ids = np.concatenate([self.unit_at, self.unit_at[-1] + short_at[1:]]), np.concatenate([self.unit_ids, short_ids])
+        return every_at, every_ids, place
+
+    def of_pieces(self, found: Pieces) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of texts that are cut into pieces."""
+        at, ids = ragged([self.piece(p) if a < 0 else array("i", [a]).tobytes() for p, a in zip(found.distinct, found.added.tolist(), strict=True)])
+        piece_at, flat = take_ragged(at, ids, found.numbers)
+        return piece_at[found.offsets], flat
+
+
+def ragged(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of 32-bit numbers as offsets and flat values."""
+    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))]).astype(np.int64) // 4
+    return at, np.frombuffer(b"".join(lists), np.int32)
+
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
 

@@ -202,6 +202,28 @@ def test_bpe_equals_the_library(spark, sf_dir):
     assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [i + [2] for i in want]
 
 
+def test_library_encoder_keeps_units(monkeypatch):
+    """Units met before are neither cut nor encoded again, and full tables change no ids."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary_path())
+    texts = [*HARD, "x y\x7f z's abc' O'Neil don't a1b2 é, word. word", "\nab c\n", "word"]
+    want = [[*e.ids, 2] for e in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(token_store.LibraryEncoder, "KEPT_UNITS", 9)
+    small = token_store.LibraryEncoder(Vocabulary.load(vocabulary_path()))
+    for _ in range(3):
+        offsets, ids = small.encode(pa.array(texts, pa.large_string()), 2)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want
+    assert len(small.units) == 9
+    monkeypatch.undo()
+    encoder = token_store.LibraryEncoder(Vocabulary.load(vocabulary_path()))
+    plain = pa.array(["Hello, World! 123", "", "a word's word\nand a line"], pa.large_string())
+    first = encoder.encode(plain, 2)
+    monkeypatch.setattr("regex.compile", lambda pattern: 1 / 0)
+    monkeypatch.setattr(encoder, "model", None)
+    assert all((a == b).all() for a, b in zip(first, encoder.encode(plain, 2), strict=True))
+
+
 def test_bpe_odd_input(odd, empty):
     rows = spec_bpe.encode(odd.withColumnRenamed("lang", "ids"), vocabulary_path(), decoded=True).collect()
     assert sorted(r["decoded"] for r in rows) == sorted(r[1] or "" for r in ODD)

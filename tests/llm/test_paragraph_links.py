@@ -121,3 +121,90 @@ def test_recall_of_similar_passages(spark):
     for c in set(cluster.values()):
         mine = [r for r in got if r["cluster"] == c]
         assert c == min(r["doc_id"] for r in mine) and {r["doc_id"] for r in mine if not r["removed"]} == {c}
+
+
+def chains(rng, n, length):
+    """Groups of texts, each made of the one before by a few words, with other words around; some end as their neighbours do."""
+    texts = []
+    for _ in range(n):
+        p, end = some(rng, 90), some(rng, 30)
+        for k in range(length):
+            if k:
+                p = list(p)
+                for i in rng.sample(range(len(p)), rng.choice([0, 1, 1, 2])):
+                    p[i] = f"n{rng.randrange(10**6)}"
+            texts.append(some(rng, rng.randrange(40)) + p + (end if rng.random() < 0.3 else some(rng, rng.randrange(40))))
+    return texts
+
+
+def longest(x, y, anchor=45, drift=3):
+    """By brute force: first and last places, in both, of the longest similar stretch around the anchor of two rows of shingles (None: outside)."""
+    common = lambda x, y: [i for i, s in enumerate(x) if s is not None and s in y[max(0, i - drift) : i + drift + 1]]
+    mine, theirs = common(x, y), common(y, x)
+    best = None
+    for a in mine:
+        for b in reversed(mine):
+            if a > anchor or b < anchor or b - a + 5 < 50 or (best and b - a <= best[1] - best[0]):
+                continue
+            inner = [i for i in theirs if a - drift <= i <= b + drift]
+            one, other = set(x[a : b + 1]), set(y[inner[0] : inner[-1] + 1])
+            if inner[-1] - inner[0] + 5 >= 50 and 100 * len(one & other) >= 80 * len(one | other):
+                best = a, b, inner[0], inner[-1]
+    return best
+
+
+def test_every_two_similar_rows_of_a_key_are_linked_as_far_as_they_go(spark):
+    """Also those that are similar to followers alone, not to the row that was first."""
+    import numpy as np
+    import pyarrow as pa
+
+    none = (np.zeros(0, int), np.zeros(0, int))
+    docs = frame(spark, list(enumerate(chains(random.Random(8), 12, 10)))).withColumn("t", F.col("doc_id"))
+    table = paragraph_dedup.paragraph_rows(docs, 50, 2, none).orderBy("key", "salt", "t", "at").toArrow().combine_chunks()
+    checked = beyond = 0
+    for key in table.column("key").unique().to_pylist():
+        rows = table.filter(pa.compute.equal(table.column("key"), key)).combine_chunks()
+        t, at = rows.column("t").to_pylist(), rows.column("at").to_pylist()
+        if len(set(t)) < len(t) or len(t) < 3:
+            continue
+        shown = [[s or None for s in x] for x in paragraph_dedup.shingles_of(*paragraph_dedup.laid_out(rows, 45)).tolist()]
+        want, pairs, got, links = {}, set(), {}, set()
+        for i in range(len(t)):
+            for j in range(len(t)):
+                if i < j and (s := longest(shown[i], shown[j])):
+                    pairs.add((t[i], t[j]))
+                    for r, a, b in ((t[i], s[0], s[1]), (t[j], s[2], s[3])):
+                        want[r] = min(a, want.get(r, (a, b))[0]), max(b, want.get(r, (a, b))[1])
+        for batch in paragraph_dedup.compared(rows, 50, 80, 3):
+            for r in batch.to_pylist():
+                links.add((r["a"], r["b"]))
+                for x in "ab":
+                    a = r[f"start_{x}"] - at[t.index(r[x])] + 45
+                    b = a + r[f"n_{x}"] - 5
+                    got[r[x]] = min(a, got.get(r[x], (a, b))[0]), max(b, got.get(r[x], (a, b))[1])
+        assert got == want
+        assert groups(t, links) == groups(t, pairs)
+        checked += len(pairs)
+        beyond += any(len(g) * (len(g) - 1) // 2 > sum(a in g for a, _ in pairs) for g in groups(t, pairs))
+    assert checked > 1000 and beyond > 30
+
+
+def groups(nodes, links):
+    found = {n: {n} for n in nodes}
+    for a, b in links:
+        if found[a] is not found[b]:
+            found[a] |= found[b]
+            for n in found[b]:
+                found[n] = found[a]
+    return sorted(map(sorted, {id(g): g for g in found.values()}.values()))
+
+
+def test_chains_are_whole_however_they_are_dealt(spark, monkeypatch):
+    """Texts similar only to followers, in whichever parts of a frequent key they are."""
+    rows, found = list(enumerate(chains(random.Random(9), 10, 30))), []
+    for sampled, part_rows in ((10**9, 2048), (1, 6)):
+        monkeypatch.setattr(paragraph_dedup, "SAMPLED", sampled)
+        monkeypatch.setattr(paragraph_dedup, "PART_ROWS", part_rows)
+        found.append({(r["doc_id"], r["cluster"]) for r in paragraph_dedup.repeated_passages(frame(spark, rows)).collect()})
+    assert found[0] == found[1] and len(found[0]) > 280
+    assert len({c for _, c in found[0]}) < 25

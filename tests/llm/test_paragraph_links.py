@@ -208,3 +208,28 @@ def test_chains_are_whole_however_they_are_dealt(spark, monkeypatch):
         found.append({(r["doc_id"], r["cluster"]) for r in paragraph_dedup.repeated_passages(frame(spark, rows)).collect()})
     assert found[0] == found[1] and len(found[0]) > 280
     assert len({c for _, c in found[0]}) < 25
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_components_of_a_key_are_whole_in_whichever_parts_its_rows_are(spark, monkeypatch, parts):
+    """Each key alone, as if its texts were in no other: rows similar only to followers, in the same part or another."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(paragraph_dedup, "PART_ROWS", 4)
+    none = (np.zeros(0, int), np.zeros(0, int))
+    docs = frame(spark, list(enumerate(chains(random.Random(11), 8, 12)))).withColumn("t", F.col("doc_id"))
+    table = paragraph_dedup.paragraph_rows(docs, 50, 2, none).orderBy("key", "t", "at").toArrow().combine_chunks()
+    rows, want = [], []
+    for k, key in enumerate(table.column("key").unique().to_pylist()):
+        own = table.filter(pa.compute.equal(table.column("key"), key)).combine_chunks()
+        t = [1000 * k + x for x in own.column("t").to_pylist()]
+        if len(set(t)) < len(t) or len(t) < 3:
+            continue
+        shown = [[s or None for s in x] for x in paragraph_dedup.shingles_of(*paragraph_dedup.laid_out(own, 45)).tolist()]
+        pairs = {(t[i], t[j]) for i in range(len(t)) for j in range(i) if longest(shown[i], shown[j])}
+        want += [g for g in groups(t, pairs) if len(g) > 1]
+        rows += [(r["key"], n % parts, x, r["at"], r["lead"], bytes(r["around"])) for n, (x, r) in enumerate(zip(t, own.to_pylist(), strict=True))]
+    dealt = spark.createDataFrame(rows, paragraph_dedup.ROWS)
+    links = {(r["a"], r["b"]) for r in paragraph_dedup.verified(dealt, 50, 80, 3).collect()}
+    assert [g for g in groups([r[2] for r in rows], links) if len(g) > 1] == sorted(want) and len(want) > 30
